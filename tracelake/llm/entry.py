@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontaminate, language, topk
+from tracelake.llm import decontaminate, language, neardup, topk
 from tracelake.llm._spark import crc_bucket, small_batches, table
 
 
+def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return neardup.near_duplicate_groups(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
@@ -30,6 +35,24 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
+OP6_SQL = r"""
+WITH RECURSIVE dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{20}\x{09}-\x{0D}]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + least(4, len(w)) - 1], ' ') AS s
+  FROM dw, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS t(p) WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), both_have AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), link AS MATERIALIZED (
+  SELECT x, y FROM both_have JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)
+), reach(d, r) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT reach.d, link.y FROM reach JOIN link ON reach.r = link.x
+), comp AS (SELECT d, min(r) AS c FROM reach GROUP BY d)
+SELECT documents.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c AS component_id, documents.doc_id = c AS kept
+FROM documents LEFT JOIN n USING (doc_id) JOIN comp ON comp.d = documents.doc_id
+"""
+
 OP9_SQL = r"""
 WITH dw AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM documents
@@ -66,8 +89,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_language_id": op8_language_id, "op9_decontamination": op9_decontamination, "op10_exact_topk": op10_exact_topk}
+    return {"op6_minhash_neardup": op6_minhash_neardup, "op8_language_id": op8_language_id, "op9_decontamination": op9_decontamination, "op10_exact_topk": op10_exact_topk}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": OP9_SQL, "op10_exact_topk": OP10_SQL}
+    return {"op6_minhash_neardup": OP6_SQL, "op9_decontamination": OP9_SQL, "op10_exact_topk": OP10_SQL}
