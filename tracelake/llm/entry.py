@@ -7,10 +7,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontaminate, language, neardup, topk
+from tracelake.llm import decontaminate, dedup, html, language, mixing, neardup, quality, tokens, topk, toxicity
 from tracelake.llm._spark import crc_bucket, small_batches, table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return dedup.remove_repeats(table(spark, sf_dir, "documents"), window=400, digest=True)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_bucket(F.col("doc_id"), 5) == 0
+    model = toxicity.fit_toxicity_model(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return html.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_bucket(F.col("doc_id"), 3) == 1
+    model = quality.fit_quality_model(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return quality.score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return neardup.near_duplicate_groups(table(spark, sf_dir, "documents"), shingle=4)
@@ -89,7 +125,10 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_minhash_neardup": op6_minhash_neardup, "op8_language_id": op8_language_id, "op9_decontamination": op9_decontamination, "op10_exact_topk": op10_exact_topk}
+    return {
+        f.__name__: f
+        for f in (op1_token_counts, op2_suffix_dedup, op3_toxicity, op4_html_extraction, op5_source_mixing, op6_minhash_neardup, op7_quality, op8_language_id, op9_decontamination, op10_exact_topk)
+    }
 
 
 def oracle_sql() -> dict[str, str]:
