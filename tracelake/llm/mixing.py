@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm import _bytes as B
@@ -148,15 +148,16 @@ def token_counts(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) and the columns `keep`, a row for each row of docs.
+    """(doc_id, size, source_size, target, taken) and the other columns in `keep`, a row for each row of docs.
 
     taken is size times the copies that the mix takes (0 to cap). Null texts have size 0 and are never
     taken; a null source is a source of its own, last in order. Rows that repeat an id are drawn apart.
     Draws depend on ids, texts and sizes alone, so reruns agree whatever the partitioning.
     """
     spark = docs.sparkSession
-    named = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("src"), F.col(text_col).alias("body"), F.xxhash64(F.col(id_col).cast("string"), source_col, text_col).alias("row"), *[F.col(c).alias(f"k_{c}") for c in keep or []])
-    sized = write_shared(token_counts(named, "body", [c for c in named.columns if c != "body"]), "sizes")
+    row = F.xxhash64(F.col(id_col).cast("string"), source_col, text_col)
+    named = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("src"), F.col(text_col).alias("body"), row.alias("row"))
+    sized = write_shared(token_counts(named, "body", ["id", "src", "row"]), "sizes")
     totals = sized.groupBy("src").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("docs")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -191,14 +192,20 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: floa
         taken = taken.unionByName(x)
     taken = taken.where("p = 1").groupBy(F.col("src").alias("t_src"), F.col("row").alias("t_row")).agg(F.count(F.lit(1)).alias("hits"))
     out = rows.join(taken, (rows["row"] == taken["t_row"]) & rows["src"].eqNullSafe(taken["t_src"]), "left")
-    twins = rows.groupBy("row", "src").agg(F.count(F.lit(1)).alias("same")).where("same > 1").limit(1).count()
+    # repeats of one row share a hash: the n-th of them is taken if n draws hit
+    twins = bool(sized.groupBy("row", "src").count().where("count > 1").limit(1).count())
+    by_row = Window.partitionBy("row").orderBy("row")
     hits = F.coalesce("hits", F.lit(0))
     if twins:
-        from pyspark.sql import Window
-
-        out = out.withColumn("nth", F.row_number().over(Window.partitionBy("row", "src").orderBy("size")))
-        chosen = (F.col("nth") <= hits).cast("int")
-    else:
-        chosen = hits
-    copies = F.col("whole") + chosen
-    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), *[F.col(f"k_{c}").alias(c) for c in keep or []])
+        out = out.withColumn("nth", F.row_number().over(by_row))
+        hits = (F.col("nth") <= hits).cast("int")
+    out = out.withColumn("taken", (F.col("size") * (F.col("whole") + hits)).cast("long"))
+    if not keep:
+        return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    made = out.select(F.col("row").alias("m_row"), *([F.col("nth").alias("m_nth")] if twins else []), F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    whole = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], row.alias("row"))
+    on = F.col("row") == F.col("m_row")
+    if twins:
+        whole = whole.withColumn("nth", F.row_number().over(by_row))
+        on = on & (F.col("nth") == F.col("m_nth"))
+    return whole.join(made, on).select("doc_id", "size", "source_size", "target", "taken", *[F.col(f"k_{c}").alias(c) for c in keep if c not in ("doc_id", "size", "source_size", "target", "taken")])
