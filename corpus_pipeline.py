@@ -24,7 +24,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit_language_model(docs, crc_bucket(F.col("doc_id"), 3) != 1)
     if not model.langs:  # nothing to learn from: only the letters decide
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return language.identify(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+    plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])  # columns may be named like results
+    found = language.identify(plain, model, text_col=f"c{docs.columns.index('text')}").where("lang_pred <> 'und'")
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     small_batches(spark)
     names = docs.columns
     cut = dedup.remove_repeats(docs.withColumn("__before", F.length("text")), window=REPEAT_BYTES)
-    changed = F.coalesce(F.length("text") < F.col("__before"), F.lit(False))
+    changed = F.coalesce(F.length("text") < F.col("__before"), F.lit(False))  # null texts are untouched
     kept = cut.where(~changed | (F.length(F.trim("text")) > 0))
     if "n_chars" in names:
         kept = kept.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

@@ -5,7 +5,7 @@ expression that both classes together have hardly seen takes its probability fro
 classes share, the same in either, and so says nothing. A text is compared by the length-normalised
 difference of its two log-likelihoods, over the whole text and over each passage of a few words (a long
 text may be toxic in one sentence); a logistic curve fitted on training rows that the models have not
-seen makes the mean and the largest passage a score.
+seen makes the mean and the largest passages a score.
 """
 
 from __future__ import annotations
@@ -24,10 +24,11 @@ from tracelake.llm.quality import labelled_sample, logistic
 #: Bounds of the training sample: rows and bytes a class.
 SAMPLE_ROWS, SAMPLE_BYTES = 6000, 32 << 20
 DISCOUNT = 0.5
-#: Expressions with fewer shared counts than this take the shared probability in both classes.
-RARE = 20
-#: Words of a passage.
-PASSAGE = 8
+#: Expressions with fewer shared counts take the shared probability in both classes: one count for so many toxic
+#: training texts, within these bounds, as what stands there by chance grows with the sample.
+RARE_SHARE, RARE_BOUNDS = 50, (5, 60)
+#: Words of a passage, from a single expression to a sentence.
+PASSAGES = (1, 3, 8)
 _START = np.uint64(0xABCDEF0123456789)
 
 
@@ -91,15 +92,15 @@ class ToxicityModel:
         return np.log(p[:, 1]) - np.log(p[:, 0])
 
     def features(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """(documents x 3): the difference of log-likelihoods over the length and over its square root, and the largest over a passage."""
+        """(documents x 5): the difference of log-likelihoods over the length and over its square root, and the largest over a passage of each length."""
         c = np.r_[0.0, np.cumsum(self.ratios(h, first))]
         n = np.diff(first)
         total, size = c[first[1:]] - c[first[:-1]], np.maximum(n, 1)
         end = np.repeat(first[1:], n)
-        passage = (c[np.minimum(np.arange(len(h)) + PASSAGE, end)] - c[: len(h)]) / PASSAGE
-        most = np.zeros(len(n))
-        if len(h):
-            most[n > 0] = np.maximum.reduceat(passage, first[:-1][n > 0])
+        most = np.zeros((len(n), len(PASSAGES)))
+        for i, k in enumerate(PASSAGES if len(h) else ()):
+            passage = (c[np.minimum(np.arange(len(h)) + k, end)] - c[: len(h)]) / k
+            most[n > 0, i] = np.maximum.reduceat(passage, first[:-1][n > 0])
         return np.c_[total / size, total / np.sqrt(size), most]
 
     def score(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -127,7 +128,7 @@ def train(ordinary: list[bytes], toxic: list[bytes], discount: float = DISCOUNT)
     count = np.zeros((len(code), 2))
     np.add.at(count, (at, cls), 1)
     if not n:
-        return ToxicityModel(words, np.zeros((0, 2)), np.ones(2), np.zeros((0, 2)), words, np.zeros((0, 2)), np.zeros(4))
+        return ToxicityModel(words, np.zeros((0, 2)), np.ones(2), np.zeros((0, 2)), words, np.zeros((0, 2)), np.zeros(3 + len(PASSAGES)))
     u, w = code // n, code % n
     # continuation counts: in how many contexts of the class a word stands; the shared model pools both
     cont = np.zeros((n, 2))
@@ -136,13 +137,14 @@ def train(ordinary: list[bytes], toxic: list[bytes], discount: float = DISCOUNT)
     np.add.at(pooled, w, 1.0)
     shared = (pooled + 0.5) / (pooled.sum() + 0.5 * (n + 1))
     floor = 0.5 / (pooled.sum() + 0.5 * (n + 1))
-    often = pooled >= RARE
+    rare = min(max(len(toxic) // RARE_SHARE, RARE_BOUNDS[0]), RARE_BOUNDS[1])
+    often = pooled >= rare
     total = np.maximum(cont.sum(0), 1.0)
     freed = np.minimum(cont, discount)[often].sum(0) / total / max(1, int(often.sum()))
     low = np.where(often[:, None], np.maximum(cont - discount, 0) / total + np.maximum(freed, floor), shared[:, None])
     seen = np.zeros((n, 2))
     np.add.at(seen, u, count)
-    told = (seen.sum(1)[u] >= RARE) & (count.sum(1) >= RARE) & (seen[u] > 0).all(axis=1)
+    told = (seen.sum(1)[u] >= rare) & (count.sum(1) >= rare) & (seen[u] > 0).all(axis=1)
     high = np.where(told[:, None], np.maximum(count - discount, 0) / np.maximum(seen[u], 1), 0.0)
     cut = np.zeros((n, 2))
     np.add.at(cut, u, high)
@@ -150,7 +152,7 @@ def train(ordinary: list[bytes], toxic: list[bytes], discount: float = DISCOUNT)
     use = (high > 0).any(axis=1)
     pairs = _pair(words[u[use]], words[w[use]])
     o = np.argsort(pairs)
-    return ToxicityModel(words, low, np.full(2, floor), keep, pairs[o], high[use][o], np.array([1.0, 1.0, 1.0, 0.0]))
+    return ToxicityModel(words, low, np.full(2, floor), keep, pairs[o], high[use][o], np.ones(3 + len(PASSAGES)))
 
 
 def fit_toxicity_model(docs: DataFrame, labels: DataFrame, train_rows: Column) -> ToxicityModel:
@@ -159,7 +161,7 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, train_rows: Column) -
     part = {y: ([t for i, t in enumerate(x) if i % 3], x[::3] or x) for y, x in got.items()}
     model = train(part[0][0], part[1][0])
     if not got[0] or not got[1]:
-        model.curve = np.array([0.0, 0.0, 0.0, 0.0 if not got[0] and not got[1] else (4.0 if got[1] else -4.0)])
+        model.curve = np.r_[np.zeros(2 + len(PASSAGES)), 0.0 if not got[0] and not got[1] else (4.0 if got[1] else -4.0)]
         return model
     x = np.concatenate([model.features(*_flat(part[y][1])) for y in (0, 1)])
     y = np.r_[np.zeros(len(part[0][1])), np.ones(len(part[1][1]))]
