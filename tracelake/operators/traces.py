@@ -49,6 +49,13 @@ def overlaps(req: TraceSearch, start: str = "start_unix_nano", end: str = "end_u
     return (F.col(end) >= req.start_unix_nano) & (F.col(start) <= req.end_unix_nano)
 
 
+def services_per_trace(spans: DataFrame) -> Column:
+    """Sorted distinct services of a group of rows. Rows with more than one service are rare: only these send arrays to the aggregate."""
+    own = _services(spans)
+    more = F.flatten(F.collect_set(F.when(F.size(own) > 1, own)))
+    return F.array_sort(F.array_union(F.collect_set(F.get(own, F.lit(0))), more)).alias("services")
+
+
 def trace_windows(spans: DataFrame) -> DataFrame:
     """(trace_id, start_unix_nano, end_unix_nano)."""
     return spans.groupBy("trace_id").agg(F.min("start_unix_nano").alias("start_unix_nano"), F.max("end_unix_nano").alias("end_unix_nano"))
@@ -85,8 +92,7 @@ def search_traces(spans: DataFrame, req: TraceSearch) -> DataFrame:
     Windows cover whole traces, the range is inclusive on both ends.
     """
     order = (F.desc("end_unix_nano"), F.asc("trace_id"))
-    listed = F.array_sort(F.array_distinct(F.flatten(F.collect_set(_services(spans))))).alias("services")
-    return limited(matching_traces(spans, req, aggregates=[listed]), req.limit, *order)
+    return limited(matching_traces(spans, req, aggregates=[services_per_trace(spans)]), req.limit, *order)
 
 
 def list_trace_ids(spans: DataFrame) -> DataFrame:
@@ -142,7 +148,7 @@ def trace_index(spans: DataFrame) -> DataFrame:
     """One row a trace: window, services, operations and distinct fields; searches over it need no shuffle."""
     fields = F.array_distinct(F.flatten(F.collect_set("fields")))
     return spans.groupBy("trace_id").agg(
-        F.min("start_unix_nano").alias("start_unix_nano"), F.max("end_unix_nano").alias("end_unix_nano"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(_services(spans))))).alias("services"),
+        F.min("start_unix_nano").alias("start_unix_nano"), F.max("end_unix_nano").alias("end_unix_nano"), services_per_trace(spans),
         F.array_sort(F.collect_set("name")).alias("operations"), fields.alias("fields"),
     )
 

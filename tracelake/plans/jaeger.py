@@ -44,7 +44,8 @@ def _placed(spans: DataFrame) -> DataFrame:
     tie = "ingest_seq" if "ingest_seq" in spans.columns else "span_id"
     # the end of a service's first row, then its tie, order services as their first rows do
     first = F.min(F.struct("end_unix_nano", tie)).over(Window.partitionBy("trace_id", "service"))
-    return spans.withColumn("service", F.coalesce(first_value(SERVICE), F.lit("-"))).withColumn("first", first)
+    # one shuffle by trace serves this window and the numbering of services
+    return spans.repartition("trace_id").withColumn("service", F.coalesce(first_value(SERVICE), F.lit("-"))).withColumn("first", first)
 
 
 def processes(spans: DataFrame) -> DataFrame:
