@@ -6,9 +6,17 @@ import json
 import os
 import time
 
-from pyspark.sql import SparkSession
+import shutil
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracelake import driver
+from tracelake.sources import otlp_json, otlp_proto
+
+#: Requests of the ingest load, of five spans each.
+REQUESTS = 60_000
 
 HEADLINE = (
     "trace_search", "trace_search_orders", "trace_search_indexed", "trace_windows", "get_trace", "list_field_values", "log_search", "log_upsert", "jaeger_search_orders", "jaeger_spans", "tempo_search_q",
@@ -16,6 +24,39 @@ HEADLINE = (
 )
 
 
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """JSON and protobuf bodies of the load generator's spans, written before anything is timed."""
+    text = lambda k, v: F.struct(F.lit(k).alias("key"), F.struct(F.lit("string").alias("kind"), F.lit(v).alias("value")).alias("value"))
+    t, start = F.col("id"), lambda i: (F.col("id") * 10 + i) * 100
+    one = lambda i: F.struct(
+        F.format_string("%032x", t).alias("trace_id"), F.format_string("%016x", t * 5 + i).alias("span_id"), F.lit(None).cast("string").alias("parent_span_id"), F.lit("GET /checkout").alias("name"), start(i).alias("start_time_unix_nano"),
+        (start(i) + 50).alias("end_time_unix_nano"), F.array(text("http.method", "GET"), text("http.route", "/checkout")).alias("attributes"), F.struct(F.lit(0).alias("code"), F.lit("OK").alias("message")).alias("status"),
+    )
+    none = F.expr("array()").cast("array<struct<key:string,value:struct<kind:string,value:string>>>")
+    scope = F.struct(F.lit("lib").alias("scope_name"), F.lit("1.0").alias("scope_version"), none.alias("scope_attributes"), F.array(*[one(i) for i in range(5)]).alias("spans"))
+    r = spark.range(REQUESTS).select(F.array(F.struct(F.array(text("service.name", "checkout")).alias("resource_attributes"), F.array(scope).alias("scope_spans"))).alias("resource_spans"))
+    r.select(F.to_json(F.struct("resource_spans")).alias("body")).write.parquet(f"{path}/json")
+    otlp_proto.to_trace_bodies(r).write.parquet(f"{path}/proto")
+    return spark.read.parquet(f"{path}/json"), spark.read.parquet(f"{path}/proto")
+
+
+def ingest_rates(spark: SparkSession) -> dict[str, float]:
+    """Spans a second from bodies to flat rows, the better of three runs."""
+    path = tempfile.mkdtemp(prefix="bench-")
+    try:
+        bodies, out = load(spark, path), {}
+        for name, source, df in zip(("json", "proto"), (otlp_json, otlp_proto), bodies):
+            took = []
+            for _ in range(3):
+                began = time.perf_counter()
+                otlp_json.flatten_traces(source.parse_trace_requests(df)).write.format("noop").mode("overwrite").save()
+                took.append(time.perf_counter() - began)
+            out[f"ingest_{name}_spans_per_s"] = round(5 * REQUESTS / min(took))
+        return out
+    finally:
+        shutil.rmtree(path, ignore_errors=True)
+
+
 def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = (
@@ -33,7 +74,8 @@ def main() -> None:
             seconds = time.perf_counter() - began
             best = seconds if best is None else min(best, seconds)
         took[name] = round(best, 3)
-    print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+    rates = ingest_rates(spark)
+    print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "rates": rates, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
     spark.stop()
 
 
