@@ -5,9 +5,9 @@
 2. Documents that share a band hash form a bucket. Stars instead of all pairs: each bucket compares its
    members with one pivot, on full sets. Links make components.
 3. Buckets whose members are then still in several components get a second pivot, the member with the
-   fewest shingles that no other open member has, after members whose own such shingles rule every link
-   out are set aside (an exact bound). What is open after that is compared across components with the
-   same bound applied to every pair. No bucket, member or pair is dropped without proof.
+   fewest rare shingles (held by at most RARE open members). What is open after that is compared across
+   components: pairs with a common rare shingle through an index of these, other pairs behind a bound
+   that the rare shingles give. Both together are exact; nothing is dropped without proof.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from tracelake.llm.components import connected_components
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair shares no band with probability (1 - 0.8**6)**56 = 4e-8.
 BANDS, ROWS = 56, 6
+#: A shingle of at most so many open members is rare: all its pairs are looked at, and it leaves the exact bound.
+RARE = 32
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.arange(1, 1 << 16, dtype=np.uint64) * _GOLD  # one stream of draws a level
@@ -191,7 +193,8 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int
     # equal sets are one class, represented by its smallest id
     classes = sk.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n", "bands").agg(F.min("doc_id").alias("cid"))
     entries = classes.select("cid", F.explode("bands").alias("h"))
-    stars = entries.groupBy("h").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a < z").select("h", "a")
+    # written first, so that the join below has two plain sides and Spark can split a hot bucket
+    stars = write_shared(entries.groupBy("h").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a < z").select("h", "a"), "stars")
     crowded = write_shared(entries.join(stars, "h").select("h", "cid", "a"), "buckets")
     pairs = crowded.where("a < cid").select("a", F.col("cid").alias("b")).distinct()
     need = crowded.select("cid").distinct()
@@ -228,9 +231,13 @@ def _second_pivot(open_: DataFrame, sets: DataFrame, labels: DataFrame, percent:
     members = open_.select("cid").distinct()
     mine = sets.join(members, "cid", "left_semi")
     words = F.expr("transform(sequence(0, cast(n as int) - 1), i -> substring(shingles, i * 8 + 1, 8))")
-    single = mine.select("cid", F.explode(words).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("cid").alias("cid")).where("k = 1").groupBy("cid").agg(F.count(F.lit(1)).alias("r"))
-    info = write_shared(mine.select("cid", "n").join(single, "cid", "left").select("cid", "n", (F.col("n") - F.coalesce("r", F.lit(0))).alias("c")), "shared-counts")
-    # c: shingles that anyone else can have, so no intersection exceeds c; partners are at least as large as the smallest member
+    held = mine.select("cid", F.explode(words).alias("s"))
+    few = held.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= RARE)
+    rare = write_shared(held.join(few, "s"), "rare-shingles")
+    own = rare.groupBy("cid").agg(F.count(F.lit(1)).alias("r"))
+    info = write_shared(mine.select("cid", "n").join(own, "cid", "left").select("cid", "n", (F.col("n") - F.coalesce("r", F.lit(0))).alias("c")), "shared-counts")
+    # c: shingles that are not rare; two members without a common rare shingle have at most the smaller c in
+    # common, and partners are at least as large as the smallest member. Those with one are paired below.
     o = open_.join(info, "cid")
     low = o.groupBy("h").agg(F.min("n").alias("least"))
     live = o.join(low, "h").where(F.col("c") * 100 >= percent * (F.col("n") + F.greatest("least", "c") - F.col("c"))).drop("least")
@@ -239,16 +246,20 @@ def _second_pivot(open_: DataFrame, sets: DataFrame, labels: DataFrame, percent:
     pairs = live.join(pivot, "h").where("label <> la").select("a", F.col("cid").alias("b")).distinct()
     links = write_shared(_linked(pairs, sets, percent), "links")
     labels = _labels(links, labels)
-    left = write_shared(_mixed(_with_label(live.drop("label"), labels)), "left")
-    if not left.limit(1).count():
-        return labels
+    tagged = _with_label(rare.where("k > 1").select("cid", "s"), labels).join(info.select("cid", "n"), "cid")
+    other = tagged.select("s", F.col("cid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
+    close = tagged.join(other, "s").where((F.col("a") < F.col("cid")) & (F.col("label") != F.col("la")) & (F.least("n", "na") * 100 >= F.greatest("n", "na") * percent))
+    by_rare = close.select("a", F.col("cid").alias("b"))
+    left = _mixed(_with_label(live.drop("label"), labels))
+    left = left.join(left.groupBy("cid").agg(F.collect_list("h").alias("hs")), "cid")
     # across components: the members outside a bucket's largest component against the others, behind the exact bound
     sizes = left.groupBy("h", "label").agg(F.count(F.lit(1)).alias("k"))
     main = sizes.groupBy("h").agg(F.max(F.struct("k", "label")).alias("m")).select("h", F.col("m.label").alias("main"))
-    minor = left.join(main, "h").where("label <> main").select("h", F.col("cid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("c").alias("ca"))
+    minor = left.join(main, "h").where("label <> main").select("h", F.col("cid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("hs").alias("ha"))
     both = F.least("c", "ca")
-    cross = left.join(minor, "h").where((F.col("label") != F.col("la")) & (both * 100 >= percent * (F.col("n") + F.col("na") - both)))
-    pairs = cross.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b")).distinct()
+    once = F.col("h") == F.array_min(F.array_intersect("hs", "ha"))  # of the buckets that a pair shares, one brings it
+    cross = left.join(minor, "h").where((F.col("label") != F.col("la")) & (both * 100 >= percent * (F.col("n") + F.col("na") - both)) & once)
+    pairs = write_shared(cross.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b")).unionByName(by_rare).distinct(), "pairs")
     return _labels(_linked(pairs, sets, percent), labels)
 
 
