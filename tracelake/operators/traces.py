@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.fields import first_value, has_field, services_of
+from tracelake.functions.fields import first_value, has_field, promote, services_of
 from tracelake.request import TraceSearch
 from tracelake.schema import NOT_INDEXED, SERVICE
 
@@ -17,6 +17,11 @@ def _services(spans: DataFrame) -> Column:
     return F.col("services") if "services" in spans.columns else services_of()
 
 
+def promoted(spans: DataFrame) -> DataFrame:
+    """Spans with their services as a column, so that predicates and sets share one look-up a row."""
+    return spans if "services" in spans.columns else promote(spans)
+
+
 def names_service(spans: DataFrame, service: str) -> Column:
     """Whether a row names the service. `-` and the empty text are no services."""
     if service in ("", "-"):
@@ -92,6 +97,7 @@ def search_traces(spans: DataFrame, req: TraceSearch) -> DataFrame:
     Windows cover whole traces, the range is inclusive on both ends.
     """
     order = (F.desc("end_unix_nano"), F.asc("trace_id"))
+    spans = promoted(spans)
     return limited(matching_traces(spans, req, aggregates=[services_per_trace(spans)]), req.limit, *order)
 
 
@@ -146,6 +152,7 @@ def storage_stats(spans: DataFrame) -> DataFrame:
 
 def trace_index(spans: DataFrame) -> DataFrame:
     """One row a trace: window, services, operations and distinct fields; searches over it need no shuffle."""
+    spans = promoted(spans)
     fields = F.array_distinct(F.flatten(F.collect_set("fields")))
     return spans.groupBy("trace_id").agg(
         F.min("start_unix_nano").alias("start_unix_nano"), F.max("end_unix_nano").alias("end_unix_nano"), services_per_trace(spans),
