@@ -42,7 +42,7 @@ def _anchor_rows(texts: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = B.column_bytes(batch.column(2))
-            for i, j in B.chunks(offs, 1 << 20):
+            for i, j in B.chunks(offs):
                 d, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 pos, lo, hi, key = anchors(d, o, window, max(1, min(GRAM, window // 4)))
                 doc = np.searchsorted(o, lo, "right") - 1
@@ -105,7 +105,8 @@ def _digits(contexts: DataFrame, window: int, width: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(k1, k2, spans): byte spans [from, to) of each text (k1, k2, doc, text) that stand in repeated windows; they may overlap."""
     rows = write_shared(_anchor_rows(docs.select("k1", "k2", "text"), window), "anchors")
-    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("a"), F.max("u").alias("z")).where("n > 1").select("h", (F.col("a") < F.col("z")).alias("open"))
+    # written first, so that the join below has two plain sides and Spark can split a hot gram
+    shared = write_shared(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("a"), F.max("u").alias("z")).where("n > 1").select("h", (F.col("a") < F.col("z")).alias("open")), "grams")
     kept = write_shared(rows.join(shared, "h"), "shared-anchors")
     drop_shared(rows)
     span = [F.col("lo").alias("a"), (F.col("hi") + window).alias("z")]

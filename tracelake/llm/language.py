@@ -24,6 +24,7 @@ from tracelake.llm import _bytes as B
 PER_LANGUAGE, LANDMARKS, MAX_LANGUAGES = 400, 256, 500
 _BITS2, _BITS3 = 13, 15
 DIM = 256 + (1 << _BITS2) + (1 << _BITS3)
+_ASCII = B.byte_table((65, 90), (97, 122))
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.where(B.byte_table((65, 90), (97, 122), (128, 255)), B.LOWER, np.uint8(32)).astype(np.uint8)
 
@@ -83,7 +84,7 @@ def fit_language_model(docs: DataFrame, train: Column, per_language: int = PER_L
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = B.column_bytes(batch.column(1))
-            for i, j in B.chunks(offs, 1 << 20, 256):
+            for i, j in B.chunks(offs, 1 << 19, 128):
                 p = presence(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array([r.tobytes() for r in np.packbits(p, axis=1)], pa.binary())], names=["lang", "bits"])
 
@@ -123,11 +124,12 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
             pred: list[str] = []
             prob: list[float] = []
             # an ASCII letter settles it; only texts without one are searched for other letters
-            ascii_letters = np.r_[0, np.cumsum(B.byte_table((65, 90), (97, 122))[data])]
-            letter = ascii_letters[offs[1:]] > ascii_letters[offs[:-1]]
+            at_letter = np.flatnonzero(_ASCII[data])
+            letter = np.diff(np.searchsorted(at_letter, offs)) > 0
+            del at_letter
             for i in np.flatnonzero(~letter):
                 letter[i] = _LETTER.search(data[offs[i] : offs[i + 1]].tobytes().decode("utf-8", "ignore")) is not None
-            for i, j in B.chunks(offs, 1 << 20, 256):
+            for i, j in B.chunks(offs, 1 << 19, 128):
                 if not m.langs:
                     pred += ["und"] * (j - i)
                     prob += [0.0] * (j - i)

@@ -120,7 +120,7 @@ def sketches(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = B.column_bytes(batch.column(1))
-            for i, j in B.chunks(offs, 1 << 20):
+            for i, j in B.chunks(offs, 1 << 18):
                 u, first = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shingle)
                 h = band_hashes(superminhash(u, first, bands * rows), bands, rows)
                 n = np.diff(first)
