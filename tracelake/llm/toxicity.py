@@ -16,13 +16,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from tracelake.llm import _bytes as B
 from tracelake.llm.quality import labelled_sample, logistic
 
 #: Bounds of the training sample: rows and bytes a class.
-SAMPLE_ROWS, SAMPLE_BYTES = 6000, 32 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 16 << 20
 DISCOUNT = 0.5
 #: Expressions with fewer shared counts take the shared probability in both classes: one count for so many toxic
 #: training texts, within these bounds, as what stands there by chance grows with the sample.
