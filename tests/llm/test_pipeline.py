@@ -92,3 +92,14 @@ def test_stages_on_odd_tables(spark, sf_dir):
             out = stage(spark, table, sf_dir)
             assert name == P.STAGES[-1][0] or out.columns == table.columns
             out.collect()
+
+
+def test_one_of_repeated_rows_survives(spark, sf_dir):
+    r = random.Random(3)
+    long = [" ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(60)) for _ in range(5)]
+    rows = [(1, long[0])] * 3 + [(None, long[1])] * 2 + [(2, long[2]), (None, long[2]), (3, long[3]), (3, long[4]), (None, long[3] + " end"), (4, long[4] + " end")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA).repartition(3)
+    kept = P.minhash_neardup(spark, df, sf_dir)
+    assert kept.columns == df.columns
+    cut_ = P.suffix_dedup(spark, P.write_shared(kept, "kept"), sf_dir).collect()
+    assert sorted((x.doc_id or 0, x.text) for x in cut_) == sorted([(1, long[0]), (0, long[1]), (2, long[2]), (3, long[3]), (3, long[4])])

@@ -266,8 +266,29 @@ def _second_pivot(open_: DataFrame, sets: DataFrame, labels: DataFrame, percent:
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest id; columns as they came.
 
-    Rows with a null id are kept, as nothing links them; of rows that repeat an id all are kept or dropped.
+    Rows that repeat an id and a text are one document, of which one row stays. Rows of one id with different
+    texts, and rows with a null id, are documents of their own; null ids come after all others. Rows with
+    neither id nor text are kept.
     """
+    text = options.get("text_col", "text")
+    odd = docs.where(F.col(text).isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id is null or n > 1")
+    if odd.limit(1).count():
+        return _drop_by_row(docs, text, options)
     gone = near_duplicate_groups(docs, **options).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
+
+def _drop_by_row(docs: DataFrame, text: str, options: dict) -> DataFrame:
+    """drop_near_duplicates() where ids are missing or repeated: each (id, text) gets a number in the order of ids."""
+    names, empty = docs.columns, F.col("doc_id").isNull() & F.col(text).isNull()
+    keys = ["__k1", "__k2"]  # two hashes name a text
+    keyed = docs.where(~empty).withColumns({"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit(11), text)})
+    once = write_shared(keyed.dropDuplicates(["doc_id", *keys]), "once")
+    numbers = once.select("doc_id", *keys).orderBy(F.asc_nulls_last("doc_id"), *keys).select(F.col("doc_id").alias("__id"), *(F.col(k).alias(f"{k}n") for k in keys), F.monotonically_increasing_id().alias("__row"))
+    numbers = write_shared(numbers, "row-numbers")
+    same = once["doc_id"].eqNullSafe(numbers["__id"]) & (once["__k1"] == numbers["__k1n"]) & (once["__k2"] == numbers["__k2n"])
+    rows = write_shared(once.join(numbers, same).select(*names, "__row"), "numbered")
+    groups = near_duplicate_groups(rows.select(F.col("__row").alias("doc_id"), text), **options)
+    gone = groups.where("not kept").select(F.col("doc_id").alias("__gone"))
+    kept = rows.join(gone, rows["__row"] == gone["__gone"], "left_anti").select(*names)
+    return kept.unionByName(docs.where(empty))
