@@ -103,3 +103,15 @@ def test_one_of_repeated_rows_survives(spark, sf_dir):
     assert kept.columns == df.columns
     cut_ = P.suffix_dedup(spark, P.write_shared(kept, "kept"), sf_dir).collect()
     assert sorted((x.doc_id or 0, x.text) for x in cut_) == sorted([(1, long[0]), (0, long[1]), (2, long[2]), (3, long[3]), (3, long[4])])
+
+
+def test_short_words_repeat(spark, sf_dir):
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    passage, fifty = " ".join(word(1) for _ in range(51)), " ".join(word(1) for _ in range(50))
+    own = [" ".join(word(9) for _ in range(40)) for _ in range(4)]
+    texts = [f"{own[0]} {passage} {own[1]}", f"{own[2]}\n{passage}\n", f"{own[3]} {fifty}", f"{fifty} {own[3][::-1]}"]
+    assert len(passage) < P.REPEAT_BYTES
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    got = {x.doc_id: x.text for x in P.suffix_dedup(spark, df, sf_dir).collect()}
+    assert got == {0: f"{own[0]}  {own[1]}", 1: f"{own[2]}\n\n", 2: texts[2], 3: texts[3]}

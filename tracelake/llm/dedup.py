@@ -57,6 +57,26 @@ def _anchor_rows(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(run, "k1 long, k2 long, h long, u long, lo int, hi int, p int")
 
 
+def _word_rows(texts: DataFrame, window: int, words: int) -> DataFrame:
+    """(k1, k2, u, a, z) of (k1, k2, text): every run of `words` words of fewer bytes than a window, and its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = B.column_bytes(batch.column(2))
+            for i, j in B.chunks(offs):
+                d, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                s, e, _ = B.words(d, o, B.NOT_SPACE)
+                a, z = s[: max(0, len(s) - words + 1)], e[words - 1 :]
+                doc = np.searchsorted(o, a, "right") - 1
+                short = (z <= o[doc + 1]) & (z - a < window)
+                a, z, doc = a[short], z[short], doc[short]
+                u = B.span_hash(B.prefix_hash(d), a, z)
+                at, base = pa.array(doc + i), o[doc]
+                yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(u.view(np.int64)), pa.array((a - base).astype(np.int32)), pa.array((z - base).astype(np.int32))], names=["k1", "k2", "u", "a", "z"])
+
+    return texts.mapInArrow(run, "k1 long, k2 long, u long, a int, z int")
+
+
 def _contexts(texts: DataFrame, reps: DataFrame, window: int) -> DataFrame:
     """(u, single, lo, hi, p, ctx): the bytes of each representative run."""
     lists = reps.groupBy("k1", "k2", "doc").agg(F.collect_list(F.struct("u", "single", "lo", "hi", "p")).alias("r"))
@@ -102,8 +122,12 @@ def _digits(contexts: DataFrame, window: int, width: int) -> DataFrame:
     return contexts.mapInArrow(run, "u long, single boolean, k int, c long, w long")
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(k1, k2, spans): byte spans [from, to) of each text (k1, k2, doc, text) that stand in repeated windows; they may overlap."""
+def repeated_spans(docs: DataFrame, window: int = WINDOW, words: int = 0) -> DataFrame:
+    """(k1, k2, spans): byte spans [from, to) of each text (k1, k2, doc, text) that stand in repeated windows; they may overlap.
+
+    With words, runs of so many words count as windows too. Only those shorter than a window are looked at, as
+    a longer one that repeats is covered by windows.
+    """
     rows = write_shared(_anchor_rows(docs.select("k1", "k2", "text"), window), "anchors")
     # written first, so that the join below has two plain sides and Spark can split a hot gram
     shared = write_shared(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("a"), F.max("u").alias("z")).where("n > 1").select("h", (F.col("a") < F.col("z")).alias("open")), "grams")
@@ -136,7 +160,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     sure = kept.where("not open").select("k1", "k2", *span)
     repeated = kept.where("open").join(runs.where("not single").select("h", "u"), ["h", "u"]).select("k1", "k2", *span)
     # equal texts bring equal spans: one of each before they are listed, so a list is bounded by its text
-    spans = sure.unionByName(repeated).unionByName(partly).distinct()
+    spans = sure.unionByName(repeated).unionByName(partly)
+    if words:
+        short = write_shared(_word_rows(docs.select("k1", "k2", "text"), window, words), "word-runs")
+        often = write_shared(short.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u"), "repeated-runs")
+        spans = spans.unionByName(short.join(often, "u").select("k1", "k2", "a", "z"))
+    spans = spans.distinct()
     return spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
 
 
@@ -149,12 +178,13 @@ def merged(a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[at], z[np.r_[at[1:] - 1, len(a) - 1]] if len(a) else z
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, text_col: str = "text", id_col: str = "doc_id", digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, text_col: str = "text", id_col: str = "doc_id", digest: bool = False, words: int = 0) -> DataFrame:
     """docs without the bytes that stand in a window which also starts anywhere else in the corpus.
 
     Texts are UTF-8 bytes, null texts are empty; windows never cross documents. All occurrences go, also
     overlapping ones and those within one document; windows are judged on the input. Texts shorter than a
-    window stay as they are. Rows that repeat a document lose each of its windows.
+    window stay as they are. Rows that repeat a document lose each of its windows. With words, a run of so
+    many words (parted by ASCII white space) that repeats byte by byte goes too, however few bytes it has.
 
     digest=False: the columns of docs, with what is left as text; a character of which only some bytes are
     covered is kept whole, so texts stay valid; untouched texts stay as they are, null ones too.
@@ -164,7 +194,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text_col: str = "text"
     base = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
     text, ident = f"c{names.index(text_col)}", f"c{names.index(id_col)}"
     keyed = _keyed(base, text)
-    spans = repeated_spans(keyed.select("k1", "k2", F.col(ident).alias("doc"), F.col(text).alias("text")), window)
+    spans = repeated_spans(keyed.select("k1", "k2", F.col(ident).alias("doc"), F.col(text).alias("text")), window, words)
     slim = keyed.select(ident, text, "k1", "k2") if digest else keyed
     joined = slim.join(spans, ["k1", "k2"], "left").drop("k1", "k2")
     cols = joined.columns
