@@ -43,3 +43,11 @@ def test_few_and_none(spark):
     huge = spark.createDataFrame([(0, [1e10, 1.0], 1), (1, [1e3, 1.0], 1), (2, [1e3, 2.0], 1)], "vec_id long, embedding array<double>, rank int")
     got = exact_topk(huge, F.col("vec_id") == 0).collect()
     assert [r.vec_id for r in got] == [2, 1]
+
+
+def test_every_row_doubled(spark):
+    r = random.Random(6)
+    rows = [(i, [float(r.randint(-8, 8)) for _ in range(6)], 0) for i in range(120)] + [(7, [1.0] * 6, 0), (7, [2.0, 0.0] * 3, 0)]
+    df = spark.createDataFrame([x for x in rows for _ in range(2)], SCHEMA).coalesce(1)
+    got = sorted(tuple(x) for x in exact_topk(df, F.col("vec_id") % 20 == 0).collect())
+    assert got == sorted(brute(rows, 20, 5)) and len(got) == 30

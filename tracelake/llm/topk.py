@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.llm._spark import write_shared
+
 SCALE = 256.0
 #: Longest vectors that seed thresholds and fit the rotation: at most so many, and at most so many bytes.
 SEED_ROWS, SEED_BYTES = 4096, 16 << 20
@@ -141,17 +143,28 @@ def _norm(vector: Column) -> Column:
     return F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
 
 
+def _distinct(v: DataFrame) -> DataFrame:
+    """One row of each (vec_id, v); only rows of repeated ids are gathered, tables without them stay as they are."""
+    twice = v.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("vec_id")
+    if not twice.limit(1).count():
+        return v
+    twice = write_shared(twice, "repeated-ids")
+    some = v.join(twice, "vec_id", "left_semi").groupBy("vec_id", "v").agg(F.max("is_query").alias("is_query"), F.first("norm").alias("norm"))
+    return write_shared(v.join(twice, "vec_id", "left_anti").unionByName(some), "vectors")
+
+
 def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows of every query row.
 
     Null ids, null or empty vectors and vectors with null or non-finite components take no part;
     vectors of other lengths than the query's are no candidates. Rows that repeat the query's id
-    count as its own; repeated query ids are one query. Ties go to the smaller id; with fewer
+    count as its own; repeated query ids are one query; rows that repeat an id and a vector are one row. Ties go to the smaller id; with fewer
     than k candidates all are returned. An empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     v = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("is_query")).where("vec_id is not null and size(v) > 0")
     v = v.withColumn("norm", _norm(F.col("v"))).where("norm is not null and not isnan(norm)")
+    v = _distinct(v)
     dim = v.select(F.max(F.size("v"))).first()[0] or 1
     seed: dict[int, list] = {}
     rows = max(k + 1, min(SEED_ROWS, SEED_BYTES // (8 * dim)))
@@ -210,5 +223,4 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "
     for p in parts[1:]:
         out = out.unionByName(p)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    # rows that repeat an id and a vector may meet twice
-    return out.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
