@@ -32,3 +32,13 @@ def test_host_suffix_array(spark):
     assert all(got[i].text == own.format(i) and got[i].n_chars == len(got[i].text) for i in range(5))
     assert got[9].text == menu and got[10].text == got[11].text == "" and got[12].text == menu
     assert extract_text(df).count() == len(rows) and extract_text(df.limit(0)).count() == 0
+
+
+def test_boilerplate_in_articles(spark):
+    note = "Members read this and every other story of ours without any delay"
+    own = "story {0} has its own words {0}a {0}b {0}c and ends here"
+    rows = [(i, "http://h.example/" + str(i), f"<article><p>{own.format(i)}</p><div class=x>{note}</div><p>{i} says: {note} {i}</p></article>") for i in range(4)]
+    want = {i: f"{own.format(i)}\n\n{i} says: {note} {i}" for i in range(4)}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    for held in (1 << 19, 0):  # broadcast and joined
+        assert {r.page_id: r.text for r in extract_text(df, held=held).collect()} == want

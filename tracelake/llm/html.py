@@ -1,14 +1,16 @@
-"""Main text of web pages: structure where a page marks its article, a host suffix array where it does not.
+"""Main text of web pages: structure and a host suffix array.
 
 Pages become streams of blocks. Menus, headers, footers, sidebars, notices, adverts, forms and comments go
-by their elements, roles, classes and ids. If a page marks its article (article, main), the blocks in
-there are its text. On other pages the boilerplate is found by repetition: the token streams of all pages of
-a host are ordered by suffix through a window of tokens, windows that stand on several distinct pages
-cover boilerplate, and only the runs that nothing covers are kept.
+by their elements, roles, classes and ids. Boilerplate that structure does not tell is found by repetition: the
+token streams of all pages of a host are ordered by suffix through a window of tokens, and windows that stand on
+a large share of the host's distinct pages cover boilerplate. If a page marks its article (article, main), the
+blocks in there are its text and only blocks that are covered from end to end go; on other pages the runs that
+nothing covers are kept. A page that would lose all its text keeps it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 from tracelake.llm import _bytes as B
 from tracelake.llm._spark import write_shared
 
-#: Tokens of a window (shorter blocks are one window), and distinct pages of a host that make it boilerplate.
-WINDOW, PAGES = 8, 3
+#: Tokens of a window (shorter blocks are one window); pages and share of a host's distinct pages that make it boilerplate.
+WINDOW, PAGES, SHARE = 8, 2, 0.5
+#: Boilerplate windows that are broadcast; more are joined.
+HELD = 1 << 19
 
 # fixed values of HTML: void elements, elements that begin a new block, raw text elements
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,6 +68,16 @@ def _dropped(tag: str, attrs: str, in_article: bool) -> bool:
 
 def blocks(page: str) -> tuple[list[str], bool]:
     """(texts, marked): the blocks of the page's marked article, or of its whole body if it marks none."""
+    return _main(_all_blocks(page))
+
+
+def _main(out: list[tuple[str, bool]]) -> tuple[list[str], bool]:
+    marked = any(a for _, a in out)
+    return [t for t, a in out if a or not marked], marked
+
+
+def _all_blocks(page: str) -> list[tuple[str, bool]]:
+    """(text, whether it stands in a marked article) of every block."""
     out: list[tuple[str, bool]] = []
     text: list[str] = []
     article = 0  # depth of article and main elements
@@ -138,8 +152,7 @@ def blocks(page: str) -> tuple[list[str], bool]:
         elif tag in ("article", "main"):
             article += 1
     flush()
-    marked = any(a for _, a in out)
-    return [t for t, a in out if a or not marked], marked
+    return out
 
 
 def _after_raw(page: str, tag: str, at: int) -> int:
@@ -165,57 +178,99 @@ def _windows(texts: list[str], window: int) -> tuple[np.ndarray, np.ndarray, np.
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def extract_text(pages: DataFrame, window: int = WINDOW, min_pages: int = PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def _streams(batches: Iterator[pa.RecordBatch], window: int, every: bool) -> Iterator[tuple]:
+    """(batch, row, main texts, windows): windows of every block or of the main ones, tied to the host; batches are (host hash, html, ...)."""
+    for batch in batches:
+        hosts = np.asarray(batch.column(0)).view(np.uint64)
+        for i, page in enumerate(batch.column(1).to_pylist()):
+            found = _all_blocks(page or "")
+            if found:
+                texts, _ = _main(found)
+                w, first, n = _windows([t for t, _ in found] if every else texts, window)
+                yield batch, i, texts, (B.mix(w ^ B.mix(hosts[i : i + 1])).view(np.int64), first, n)
+
+
+def _boilerplate(keyed: DataFrame, window: int, min_pages: int, share: float) -> DataFrame:
+    """(w): the windows that stand on so many pages of distinct main text, and so large a share of these, of their host."""
+
+    def listed(batches: Iterator[pa.RecordBatch], lists: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, content, ws = [], [], []
+            if lists:
+                for _, i, texts, (w, _, _) in _streams([batch], window, True):
+                    at.append(i), content.append("\n\n".join(texts)), ws.append(np.unique(w))
+            else:
+                for i, page in enumerate(batch.column(1).to_pylist()):
+                    if texts := blocks(page or "")[0]:
+                        at.append(i), content.append("\n\n".join(texts))
+            h = [int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little", signed=True) for t in content]
+            out = {"host": batch.column(0).take(pa.array(at, pa.int64())), "content": pa.array(h, pa.int64())}
+            if lists:
+                out["ws"] = pa.array(ws, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_pydict(out)
+
+    source = keyed.select("host", "html")
+    pages = write_shared(source.mapInArrow(lambda x: listed(x, False), "host long, content long").groupBy("host", "content").agg(F.count(F.lit(1)).alias("n")), "page-contents")
+    need = F.greatest(F.lit(min_pages), F.ceil(F.count(F.lit(1)) * share)).cast("int")
+    hosts = write_shared(pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), need.alias("need")).where("pages >= need").select("host", "need"), "hosts")
+    copies = write_shared(pages.where("n > 1").select("host", "content", F.col("content").alias("c")), "page-copies")
+    rows = source.mapInArrow(lambda x: listed(x, True), "host long, content long, ws array<long>").join(hosts, "host").join(copies, ["host", "content"], "left")
+    # copies of a page carry their content and count once; a hot host is spread over its windows
+    counted = rows.select(F.explode("ws").alias("w"), "c", "need").repartition("w").groupBy("w", "c").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
+    total = counted.groupBy("w").agg(F.sum(F.when(F.col("c").isNull(), F.col("n")).otherwise(1)).alias("pages"), F.first("need").alias("need"))
+    return write_shared(total.where("pages >= need").select("w"), "boilerplate")
+
+
+def extract_text(pages: DataFrame, window: int = WINDOW, min_pages: int = PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = SHARE, held: int = HELD) -> DataFrame:
     """(page_id, url, text, n_chars), a row for each row of pages.
 
     Character references are decoded, white space within a block becomes one space, blocks are trimmed and
-    joined by two line breaks in page order. Null, empty and blank pages give the empty text. Rows that
-    repeat a page count as one page of their host; pages without a host in their url share one host.
-    Other columns are ignored.
+    joined by two line breaks in page order. Null, empty and blank pages give the empty text. Pages of equal
+    main text count as one page of their host, which needs two for anything to repeat; pages without a host
+    in their url share one host. Other columns are ignored.
     """
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1))
+    host = F.xxhash64(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1)))
     keyed = p.withColumns({"host": host, "page": F.xxhash64("page_id", "url", "html")})
-
-    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, got = [], []
-            for i, page in enumerate(batch.column(2).to_pylist()):
-                texts, marked = blocks(page or "")
-                if not marked and texts:
-                    got.append(_windows(texts, window))
-                    at.append(np.full(len(got[-1][0]), i))
-            if got:
-                w, first, n = (np.concatenate(x) for x in zip(*got))
-                rows = pa.array(np.concatenate(at))
-                yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(w.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=["host", "page", "w", "first", "n"])
-
-    windows = write_shared(keyed.select("host", "page", "html").mapInArrow(streams, "host string, page long, w long, first int, n int"), "page-windows")
-    # equal suffixes through the window, counted by distinct pages; a hot host is spread over its windows
-    shared = windows.groupBy("host", "w", "page").agg(F.lit(1).alias("one")).groupBy("host", "w").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
-    covered = windows.join(shared.select("host", "w"), ["host", "w"]).select("page", "first", "n").distinct()
-    spans = covered.groupBy("page").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
-    spans = write_shared(spans, "page-spans")
+    boiler = _boilerplate(keyed, window, min_pages, share)
+    few = boiler.limit(held + 1).count() <= held
+    known = p.sparkSession.sparkContext.broadcast(np.sort(np.asarray(boiler.toArrow().column("w").combine_chunks())) if few else np.zeros(0, np.int64))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = known.value
         for batch in batches:
             spans_at = batch.schema.get_field_index("spans")
-            texts = []
+            texts = [""] * len(batch)
+            hosts = np.asarray(batch.column(3)).view(np.uint64)
             for i, page in enumerate(batch.column(2).to_pylist()):
                 got, marked = blocks(page or "")
-                if not marked and spans_at >= 0:
-                    got = uncovered(got, batch.column(spans_at)[i].as_py() or [])
-                texts.append("\n\n".join(got))
+                spans = (batch.column(spans_at)[i].as_py() or []) if spans_at >= 0 else []
+                if len(table) and got:
+                    w, first, n = _windows(got, window)
+                    w = B.mix(w ^ B.mix(hosts[i : i + 1])).view(np.int64)
+                    hit = table[np.minimum(np.searchsorted(table, w), len(table) - 1)] == w
+                    spans = [{"first": a, "n": b} for a, b in zip(first[hit], n[hit])]
+                if spans:
+                    got = uncovered(got, spans, marked) or got
+                texts[i] = "\n\n".join(got)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     out = f"page_id {p.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
-    if not spans.limit(1).count():  # nothing is covered: no join needed
-        return p.mapInArrow(finish, out)
-    return keyed.join(spans, "page", "left").select("page_id", "url", "html", "spans").mapInArrow(finish, out)
+    if few:
+        return keyed.select("page_id", "url", "html", "host").mapInArrow(finish, out)
+
+    def covering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, i, _, (w, first, n) in _streams(batches, window, False):
+            yield pa.record_batch([batch.column(2).take(pa.array(np.full(len(w), i))), pa.array(w), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=["page", "w", "first", "n"])
+
+    windows = keyed.select("host", "html", "page").mapInArrow(covering, "page long, w long, first int, n int")
+    covered = windows.join(boiler, "w").select("page", "first", "n").distinct()
+    spans = write_shared(covered.groupBy("page").agg(F.collect_list(F.struct("first", "n")).alias("spans")), "page-spans")
+    return keyed.join(spans, "page", "left").select("page_id", "url", "html", "host", "spans").mapInArrow(finish, out)
 
 
-def uncovered(texts: list[str], spans: list) -> list[str]:
-    """The runs of tokens that no span covers, block by block."""
+def uncovered(texts: list[str], spans: list, whole: bool = False) -> list[str]:
+    """The runs of tokens that no span covers, block by block; with whole, each block that spans do not cover from end to end."""
     words = [t.split(" ") for t in texts]
     gone = np.zeros(sum(map(len, words)) + 1, np.int64)
     for s in spans:
@@ -224,7 +279,8 @@ def uncovered(texts: list[str], spans: list) -> list[str]:
     gone = np.cumsum(gone) > 0
     out, at = [], 0
     for w in words:
-        kept = " ".join(x for x, g in zip(w, gone[at : at + len(w)]) if not g)
+        some = gone[at : at + len(w)]
+        kept = " ".join(x for x, g in zip(w, some) if not g or whole and not some.all())
         at += len(w)
         if kept:
             out.append(kept)
