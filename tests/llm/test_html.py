@@ -42,3 +42,15 @@ def test_boilerplate_in_articles(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
     for held in (1 << 19, 0):  # broadcast and joined
         assert {r.page_id: r.text for r in extract_text(df, held=held).collect()} == want
+
+
+def test_share_of_distinct_pages(spark):
+    copy = "<p>one article that stands under three ids of the very same host</p>"
+    phrase = "and that is what they said at the time"
+    rows = [(i, f"http://copies.example/{i}", copy + f"<!-- {i} -->") for i in range(3)]
+    rows += [(10 + i, f"http://hot.example/{i}", f"<p>{i}x {i}y {phrase if i < 3 else i} {i}z</p>") for i in range(9)]
+    rows += [(20 + i, f"http://two.example/{i}", f"<div>Home About Contact</div><p>page {i}</p>") for i in range(2)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == copy[3:-4] for i in range(3))
+    assert all(got[10 + i] == f"{i}x {i}y {phrase if i < 3 else i} {i}z" for i in range(9))
+    assert all(got[20 + i] == f"page {i}" for i in range(2))
