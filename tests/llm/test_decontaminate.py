@@ -16,7 +16,7 @@ def words(t):
 def brute(docs, items, window):
     out = []
     for i, t in docs:
-        w, hit, found = words(t), set(), set()
+        w, hit, found, full = words(t), set(), set(), set()
         for item, x in items:
             iw = words(x)
             k = min(window, len(iw))
@@ -24,16 +24,17 @@ def brute(docs, items, window):
             for p in range(len(w) - k + 1 if k else 0):
                 if tuple(w[p : p + k]) in wins:
                     hit.update(range(p, p + k))
-                    found.add(str(item))
-        sha = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
-        out.append((i, len(w), len(hit), len(found), sha, len(hit) > 0 and 20 * len(hit) >= len(w)))
+                    found.add(None if item is None else str(item))
+                    full.update([p] if k == window else [])
+        sha = hashlib.sha256(",".join(sorted(x for x in found if x is not None)).encode()).hexdigest()
+        out.append((i, len(w), len(hit), len(found), sha, len(hit) > 0 and 20 * len(hit) >= len(w), len(full)))
     return out
 
 
 def case(seed):
     r = random.Random(seed)
     text = lambda n, v="abcdefgé": " ".join(r.choice(v) + r.choice(["", ".", "X", "1"]) for _ in range(n))
-    items = [(i, text(r.randint(1, 12))) for i in range(12)] + [(100, None), (101, ""), (102, "..."), (103, "a b"), (103, "c d e f g a b")]
+    items = [(i, text(r.randint(1, 12))) for i in range(12)] + [(100, None), (101, ""), (102, "..."), (103, "a b"), (103, "c d e f g a b"), (None, text(9)), (None, "d e")]
     docs = [(i, text(r.randint(0, 60)) + " " + (r.choice(items)[1] or "") + "-" + text(r.randint(0, 9), "zq")) for i in range(40)]
     return [*docs, (40, None), (41, ""), (42, "!!"), (43, "q z " * 30000), (0, docs[1][1]), (None, docs[2][1])], items
 
@@ -65,6 +66,14 @@ def test_many_blocks_equal_one(spark, monkeypatch):
     assert sorted(map(tuple, D.contamination(d, b, window=4).collect()), key=key) == one
 
 
+def test_any_window(spark):
+    long = " ".join(f"w{i}" for i in range(400))
+    docs = spark.createDataFrame([(1, long + " a b c d"), (2, long + " x y"), (3, "x y z"), (4, long + " a b c"), (5, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "q a b c d"), (2, "x y"), (None, "n o p q")], "item_id long, text string")
+    left = lambda **o: sorted(r.doc_id for r in D.decontaminate(docs, items, window=4, **o).collect())
+    assert left() == [1, 2, 4, 5] and left(any_window=True) == [2, 4, 5]
+
+
 def test_filter_keeps_columns_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d", 5, "x"), (2, "z z z", 6, None)], "doc_id long, text string, n_hit int, `c0` string")
     items = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")

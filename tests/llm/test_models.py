@@ -53,6 +53,16 @@ def test_language(spark):
     assert [odd[k] for k in ODD[:4]] == ["und"] * 4 and odd[(6, "é")] != "und" and len(odd) == len(ODD)
 
 
+def test_language_learns_from_rows_without_ids(spark):
+    rows = [(None, f"the and of that {i}", "en") for i in range(9)] + [(None, f"le et la que {i}", "fr") for i in range(9)] + [(None, "the and", None), (None, None, "en"), (1, "the and of it", "en")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language.fit_language_model(docs, F.lit(True), per_language=5)
+    again = language.fit_language_model(docs.repartition(2), F.lit(True), per_language=5)
+    assert model.langs == ["en", "fr"] and abs(model.weights - again.weights).max() < 1e-6
+    got = language.identify(spark.createDataFrame([(1, "the of and"), (2, "la et que")], "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == ["en", "fr"]
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "a b", None)], "doc_id long, text string, lang string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

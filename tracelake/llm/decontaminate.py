@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 from tracelake.llm import _bytes as B
 
 WINDOW = 13
-#: Benchmark text that one broadcast model covers; larger benchmarks are handled as several, one in memory at a time.
-BLOCK_BYTES = 32 << 20
+#: Benchmark text that one model covers; a larger benchmark is several, of which a worker holds one at a time.
+BLOCK_BYTES = 8 << 20
+#: First words of a window by which a chunk picks the windows that it searches.
+_PREFIX = 3
 
 
 @dataclass
@@ -34,40 +37,53 @@ class Items:
     keys: np.ndarray  # distinct windows as big-endian rank strings, sorted
     length: np.ndarray  # words of each window
     at: np.ndarray  # first entry of each window in item/pos, one more at the end
-    item: np.ndarray  # item ids as strings
+    item: np.ndarray  # number of the item in ids
     pos: np.ndarray  # word offset of the window in its item
+    ids: list  # item ids as strings, None for a null id
     shortest: int
 
+    @cached_property
+    def prefix(self) -> np.ndarray:
+        """The first words of each window, as many as every window has, up to _PREFIX."""
+        return np.ascontiguousarray(self.keys.view(np.uint8).reshape(len(self.keys), -1)[:, : 4 * self.depth]).view(f"S{4 * self.depth}").ravel()
+
+    @property
+    def depth(self) -> int:
+        return min(_PREFIX, self.shortest)
+
+
+def _rank_strings(rank: np.ndarray, start: np.ndarray, length: np.ndarray, window: int) -> np.ndarray:
+    """The `length` ranks from each start on as a byte string that sorts like them, filled up with zeros."""
+    m = np.r_[rank, np.zeros(window, rank.dtype)][start[:, None] + np.arange(window)]
+    m[np.arange(window) >= length[:, None]] = 0
+    return np.ascontiguousarray(m.astype(">u4")).view(f"S{4 * window}").ravel()
+
 
 def build_items(ids: list, texts: list[str], window: int = WINDOW) -> Items | None:
+    """The model of some items; None if they hold no word."""
     data, offs = B.column_bytes(pa.array([(t or "").encode() for t in texts], pa.large_binary()))
     data = B.LOWER[data]
     s, e, first = B.words(data, offs, B.ALNUM)
     if not len(s):
         return None
-    h = B.word_hashes(data, s, e)
-    vocab = np.unique(h)
+    vocab, rank = np.unique(B.word_hashes(data, s, e), return_inverse=True)
     gate = np.zeros(1 << 16, bool)
     gate[(vocab & np.uint64(0xFFFF)).astype(np.int64)] = True
-    rank = np.searchsorted(vocab, h).astype(np.uint32) + 1
-    found: dict[bytes, list] = {}
-    for i, (a, b) in enumerate(zip(first[:-1], first[1:])):
-        n = int(b - a)
-        w = min(window, n)
-        for p in range(n - w + 1 if n else 0):
-            found.setdefault(rank[a + p : a + p + w].astype(">u4").tobytes().ljust(4 * window, b"\0"), []).append((str(ids[i]), p))
-    keys = sorted(found)
-    where = [x for k in keys for x in found[k]]
-    return Items(
-        vocab, gate, np.array(keys, f"S{4 * window}"), np.array([sum(k[j : j + 4] != b"\0\0\0\0" for j in range(0, len(k), 4)) for k in keys], np.int64),
-        np.cumsum([0] + [len(found[k]) for k in keys]), np.array([x[0] for x in where]), np.array([x[1] for x in where], np.int64), int(min(np.diff(first)[np.diff(first) > 0].min(), window)),
-    )
+    n = np.diff(first)
+    size = np.minimum(n, window)
+    count = np.where(n > 0, n - size + 1, 0)
+    item = np.repeat(np.arange(len(n)), count)
+    pos = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    keys, firsts, inverse = np.unique(_rank_strings(rank.astype(np.uint32) + 1, first[item] + pos, size[item], window), return_index=True, return_inverse=True)
+    order = np.argsort(inverse, kind="stable")
+    at = np.r_[0, np.cumsum(np.bincount(inverse, minlength=len(keys)))]
+    return Items(vocab, gate, keys, size[item][firsts], at, item[order], pos[order], [None if i is None else str(i) for i in ids], int(size[n > 0].min()))
 
 
 def occurrences(hashes: np.ndarray, first: np.ndarray, items: Items, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(word position, window number) of each occurrence of a window in the documents' words."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rank = np.zeros(len(hashes) + window, np.uint32)
+    rank = np.zeros(len(hashes), np.uint32)
     maybe = np.flatnonzero(items.gate[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
     at = np.minimum(np.searchsorted(items.vocab, hashes[maybe]), len(items.vocab) - 1)
     same = items.vocab[at] == hashes[maybe]
@@ -75,7 +91,7 @@ def occurrences(hashes: np.ndarray, first: np.ndarray, items: Items, window: int
     if not same.any():
         return none
     # end of the run of known words in the same document that each word stands in
-    stop = rank[: len(hashes)] == 0
+    stop = rank == 0
     ends = np.union1d(np.flatnonzero(stop), first[1:])
     known = np.flatnonzero(~stop)
     left = ends[np.searchsorted(ends, known, "right")] - known
@@ -84,23 +100,27 @@ def occurrences(hashes: np.ndarray, first: np.ndarray, items: Items, window: int
     if not len(start):
         return none
     # the suffix array: suffixes of known words, ordered to the depth of a window
-    suffix = rank[start[:, None] + np.arange(window)]
-    suffix[np.arange(window) >= left[:, None]] = 0
-    text = np.ascontiguousarray(suffix.astype(">u4")).view(f"S{4 * window}").ravel()
+    text = _rank_strings(rank, start, left, window)
     array = np.argsort(text, kind="stable")
     text = text[array]
-    high = items.keys.copy().view(np.uint8).reshape(-1, 4 * window)
-    high[np.arange(4 * window) >= 4 * items.length[:, None]] = 255
-    lo = np.searchsorted(text, items.keys, "left")
-    hi = np.searchsorted(text, np.ascontiguousarray(high).view(f"S{4 * window}").ravel(), "right")
+    # the test windows that begin like some suffix of this chunk are searched, so work grows with the chunk, not with the benchmark
+    d = 4 * items.depth
+    begin = np.unique(np.ascontiguousarray(text.view(np.uint8).reshape(len(text), -1)[:, :d]).view(f"S{d}").ravel())
+    lo, hi = np.searchsorted(items.prefix, begin, "left"), np.searchsorted(items.prefix, begin, "right")
+    n = hi - lo
+    win = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+    keys = items.keys[win]
+    high = keys.copy().view(np.uint8).reshape(-1, 4 * window)
+    high[np.arange(4 * window) >= 4 * items.length[win][:, None]] = 255
+    lo = np.searchsorted(text, keys, "left")
+    hi = np.searchsorted(text, high.view(f"S{4 * window}").ravel(), "right")
     n = hi - lo
-    win = np.repeat(np.arange(len(n)), n)
     place = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-    return start[array[place]], win
+    return start[array[place]], np.repeat(win, n)
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> list:
-    """Broadcast models of the benchmark, of at most BLOCK_BYTES of text each."""
+    """Broadcast models of the benchmark, of about BLOCK_BYTES of text each; the driver builds one at a time."""
     sc, out, ids, texts, held = benchmark.sparkSession.sparkContext, [], [], [], 0
 
     def flush() -> None:
@@ -110,10 +130,10 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> li
             out.append(sc.broadcast(m))
         ids, texts, held = [], [], 0
 
-    for r in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null").toLocalIterator():
+    for r in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null").toLocalIterator():
         ids.append(r.i)
         texts.append(r.t)
-        held += len(r.t or "") + 16
+        held += len(r.t) + 16
         if held >= BLOCK_BYTES:
             flush()
     flush()
@@ -121,22 +141,36 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> li
 
 
 def _each(blocks: list) -> Iterator[Items]:
+    """The models of the blocks, one in memory at a time."""
     for b in blocks:
         yield b.value
         if len(blocks) > 1 and hasattr(b, "_value"):
-            del b._value  # one block in memory at a time
+            del b._value
+
+
+def _word_chunks(col: pa.Array) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row behind the last, word hashes, first word of each row) of the chunks of a text column."""
+    data, offs = B.column_bytes(col)
+    out = []
+    for i, j in B.chunks(offs):
+        d = B.LOWER[data[offs[i] : offs[j]]]
+        s, e, first = B.words(d, offs[i : j + 1] - offs[i], B.ALNUM)
+        out.append((i, j, B.word_hashes(d, s, e), first))
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = 0.05, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256 and contaminated (n_hit > 0 and n_hit >= share of n_words).
+    """Per document: n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and n_hit >= share of n_words) and n_full.
 
     Lower-cases A-Z; words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. A window is `window` consecutive
-    words of an item, or the whole item if it has fewer. Null or empty texts have no words and are not
-    contaminated; null items and items without words never match; repeated rows each give a row. With
-    keep_columns all columns of docs come along (names that clash with the results are replaced).
+    words of an item, or the whole item if it has fewer; n_full counts the words at which a window of full length
+    begins. Null or empty texts have no words and are not contaminated; null items and items without words never
+    match. Items with a null id hit words like others; together they are one of n_items, and the list leaves them
+    out. Repeated rows each give a row. With keep_columns all columns of docs come along (names that clash
+    with the results are replaced).
     """
     blocks = _blocks(benchmark, "item_id", "text", window)
-    made = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    made = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_full long"
     names = [x.split()[0] for x in made.split(", ")]
     docs = docs.select(*[c for c in docs.columns if c not in names or c in (id_col, text_col)]) if keep_columns else docs.select(id_col, text_col)
     out_cols = docs.columns if keep_columns else [id_col]
@@ -145,76 +179,82 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = B.column_bytes(batch.column(at))
-            for i, j in B.chunks(offs):
-                d = B.LOWER[data[offs[i] : offs[j]]]
-                s, e, first = B.words(d, offs[i : j + 1] - offs[i], B.ALNUM)
-                h = B.word_hashes(d, s, e)
-                depth = np.zeros(len(h) + 1, np.int64)
-                doc = B.owner(first)
-                pairs = []
-                for m in _each(blocks) if len(h) else ():
-                    pos, win = occurrences(h, first, m, window)
-                    np.add.at(depth, pos, 1)
-                    np.add.at(depth, pos + m.length[win], -1)
-                    if len(pos):
-                        u = np.unique(np.stack([doc[pos], win]), axis=1)
-                        pairs += [(int(x), it) for x, w in u.T for it in m.item[m.at[w] : m.at[w + 1]]]
-                hit = np.r_[0, np.cumsum(np.cumsum(depth[:-1]) > 0)]
-                n_hit, n_words = hit[first[1:]] - hit[first[:-1]], np.diff(first)
-                items: list[set] = [set() for _ in range(i, j)]
-                for x, it in pairs:
-                    items[x].add(str(it))
-                sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
-                part = batch.slice(i, j - i)
-                bad = (n_hit > 0) & (n_hit >= share * n_words - 1e-9)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(x) for x in keep), pa.array(n_words.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array([len(x) for x in items], pa.int64()), pa.array(sha), pa.array(bad)],
-                    names=[*out_cols, *names],
-                )
+            parts = _word_chunks(batch.column(at))
+            depth = [np.zeros(len(h) + 1, np.int64) for _, _, h, _ in parts]
+            full = [np.zeros(len(h), bool) for _, _, h, _ in parts]
+            items: list[set] = [set() for _ in range(len(batch))]
+            for m in _each(blocks):
+                for (i, _, h, first), deep, whole in zip(parts, depth, full):
+                    pos, win = occurrences(h, first, m, window) if len(h) else (np.zeros(0, np.int64),) * 2
+                    if not len(pos):
+                        continue
+                    np.add.at(deep, pos, 1)
+                    np.add.at(deep, pos + m.length[win], -1)
+                    whole[pos[m.length[win] == window]] = True
+                    doc, win = np.unique(np.stack([B.owner(first)[pos], win]), axis=1)
+                    n = m.at[win + 1] - m.at[win]
+                    item = m.item[np.repeat(m.at[win] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                    for x, it in np.unique(np.stack([np.repeat(doc, n), item]), axis=1).T:
+                        items[i + x].add(m.ids[it])
+            sums = [[np.r_[0, np.cumsum(x)] for x in (np.cumsum(deep[:-1]) > 0, whole)] for deep, whole in zip(depth, full)]
+            n_words, n_hit, n_full = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([np.diff(p[3]) for p in parts], *([s[k][p[3][1:]] - s[k][p[3][:-1]] for s, p in zip(sums, parts)] for k in (0, 1))))
+            sha = [hashlib.sha256(",".join(sorted(y for y in x if y is not None)).encode()).hexdigest() for x in items]
+            bad = (n_hit > 0) & (n_hit >= share * n_words - 1e-9)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(x) for x in keep), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha, pa.string()), pa.array(bad), pa.array(n_full, pa.int64())],
+                names=[*out_cols, *names],
+            )
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in out_cols)
     return docs.mapInArrow(run, f"{fields}, {made}")
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, item_id, item_pos, doc_pos, n_words): maximal verbatim matches of at least a window, with locations in words."""
+    """(doc_id, item_id, item_pos, doc_pos, n_words): maximal verbatim matches of at least a window, with locations in words.
+
+    The evidence behind contamination(): where each match stands in the document and in the item. Items with a
+    null id come with a null; other cases as there.
+    """
     blocks = _blocks(benchmark, "item_id", "text", window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = B.column_bytes(batch.column(1))
-            for i, j in B.chunks(offs):
-                d = B.LOWER[data[offs[i] : offs[j]]]
-                s, e, first = B.words(d, offs[i : j + 1] - offs[i], B.ALNUM)
-                h = B.word_hashes(d, s, e)
-                doc = B.owner(first)
-                rows = []
-                for m in _each(blocks) if len(h) else ():
+            parts = _word_chunks(batch.column(1))
+            for m in _each(blocks):
+                for i, j, h, first in parts:
+                    if not len(h):
+                        continue
                     pos, win = occurrences(h, first, m, window)
-                    runs: dict[tuple, list] = {}
-                    for p, w in sorted(zip(pos.tolist(), win.tolist())):
-                        x = int(doc[p])
-                        for t in range(m.at[w], m.at[w + 1]):
-                            a = p - int(first[x])
-                            r = runs.setdefault((x, str(m.item[t]), a - int(m.pos[t])), [])
-                            if r and r[-1][1] >= a + int(m.length[w]) - 1:
-                                r[-1][1] = a + int(m.length[w])
-                            else:
-                                r.append([a, a + int(m.length[w])])
-                    rows += [(x, it, a - k, a, b - a) for (x, it, k), r in runs.items() for a, b in r]
-                ids = batch.column(0).slice(i, j - i)
-                cols = list(zip(*rows)) if rows else [(), (), (), (), ()]
-                yield pa.record_batch([ids.take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.string()), *(pa.array(c, pa.int64()) for c in cols[2:])], names=["doc_id", "item_id", "item_pos", "doc_pos", "n_words"])
+                    n = m.at[win + 1] - m.at[win]
+                    entry = np.repeat(m.at[win] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    doc = np.repeat(B.owner(first)[pos], n)
+                    a = np.repeat(pos, n) - first[doc]
+                    z = a + np.repeat(m.length[win], n)
+                    item, shift = m.item[entry], a - m.pos[entry]
+                    # windows of one alignment that touch are one match
+                    o = np.lexsort((a, shift, item, doc))
+                    doc, item, shift, a, z = doc[o], item[o], shift[o], a[o], z[o]
+                    new = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]) | (a[1:] > z[:-1])] if len(o) else np.zeros(0, bool)
+                    f = np.flatnonzero(new)
+                    z = z[np.r_[f[1:] - 1, len(o) - 1]] if len(f) else z
+                    doc, item, shift, a = doc[f], item[f], shift[f], a[f]
+                    ids = batch.column(0).slice(i, j - i)
+                    yield pa.record_batch([ids.take(pa.array(doc)), pa.array([m.ids[x] for x in item], pa.string()), pa.array(a - shift), pa.array(a), pa.array(z - a)], names=["doc_id", "item_id", "item_pos", "doc_pos", "n_words"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id string, item_pos long, doc_pos long, n_words long")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, with the columns they came with."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, any_window: bool = False, **options) -> DataFrame:
+    """The documents that are not contaminated, with the columns they came with.
+
+    any_window: one occurrence of a window of full length is enough, however long the document is; items
+    shorter than a window still need their share of the words, so that an item of a few common words takes
+    no clean document away.
+    """
     t = docs.withColumn("__text", F.col("text"))
     marked = contamination(t.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col("__text")), benchmark, id_col="c0", text_col="__text", keep_columns=True, **options)
-    return marked.where("not contaminated").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    clean = ~F.col("contaminated") & ((F.col("n_full") == 0) | F.lit(not any_window))
+    return marked.where(clean).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def empty_benchmark(spark: SparkSession) -> DataFrame:

@@ -15,13 +15,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm import _bytes as B
+from tracelake.llm._spark import drop_shared, write_shared
 
-#: Bounds of the training sample: rows a language, landmarks overall, languages at most.
-PER_LANGUAGE, LANDMARKS, MAX_LANGUAGES = 400, 256, 500
+#: Bounds of the training sample: rows a language, landmarks overall (one a language at least).
+PER_LANGUAGE, LANDMARKS = 400, 256
 _BITS2, _BITS3 = 13, 15
 DIM = 256 + (1 << _BITS2) + (1 << _BITS3)
 _ASCII = B.byte_table((65, 90), (97, 122))
@@ -62,49 +63,86 @@ class LanguageModel:
         return (x @ self.weights) / np.sqrt(np.maximum(x.sum(1), 1))[:, None]
 
 
+def _unpacked(bits: list[bytes]) -> np.ndarray:
+    """Unit rows of packed presence bits."""
+    x = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1)[:, :DIM].astype(np.float32)
+    return x / np.sqrt(np.maximum(x.sum(1), 1))[:, None]
+
+
+def _smallest(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The n rows of each language that come first; every task passes on n a language at most."""
+    w = Window.partitionBy("lang").orderBy(*order)
+    return rows.withColumn("no", F.row_number().over(w)).where(F.col("no") <= n).drop("no")
+
+
 def fit_language_model(docs: DataFrame, train: Column, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = 1e-3) -> LanguageModel:
-    """Learn from a bounded sample: the `per_language` training rows of each language with the smallest hash of doc_id.
+    """Learn from a bounded sample: the `per_language` training rows of each language with the smallest hashes of doc_id and text.
 
-    Rows with a null text or lang are no training rows. Without any, the model knows no language.
+    Rows with a null text or lang are no training rows, rows with a null id are. Rows that repeat an id and a text
+    are one example (they may take several places of the bound). Without any row the model knows no language.
+    The sample's presence rows are a shared table; the driver holds the landmarks and sums of their kernel values.
     """
     spark = docs.sparkSession
     usable = docs.where(train & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    langs = sorted(r.lang for r in usable.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    picked = None
-    for lang in langs:
-        one = usable.where(F.col("lang") == lang).select("doc_id", "lang").withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(per_language)
-        picked = one if picked is None else picked.unionByName(one)
-    if picked is None:
-        return LanguageModel([], np.zeros((DIM, 0), np.float32))
-    ids = [r[0] for r in picked.select("doc_id").distinct().collect() if r[0] is not None]  # at most per_language * languages
-    chosen = usable.join(F.broadcast(spark.createDataFrame([(i,) for i in ids], docs.select("doc_id").schema)), "doc_id", "left_semi") if ids else usable.limit(0)
+    keyed = usable.select("lang", F.xxhash64(F.col("doc_id").cast("string")).alias("o"), F.xxhash64("text").alias("t"), "text")
+    picked = write_shared(_smallest(keyed.drop("text"), per_language, "o", "t").distinct(), "language-sample")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = B.column_bytes(batch.column(1))
+            data, offs = B.column_bytes(batch.column(3))
             for i, j in B.chunks(offs, 1 << 19, 128):
-                p = presence(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array([r.tobytes() for r in np.packbits(p, axis=1)], pa.binary())], names=["lang", "bits"])
-
-    rows = sorted((r.lang, bytes(r.bits)) for r in chosen.select("lang", "text").mapInArrow(features, "lang string, bits binary").toLocalIterator())
-    kept: dict[str, list] = {}
-    for lang, bits in rows:  # rows that repeat an id can't widen the bound
-        if len(kept.setdefault(lang, [])) < per_language:
-            kept[lang].append(bits)
-    x = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8))[:DIM][None] for v in kept.values() for b in v]).astype(np.float32)
-    y = np.concatenate([np.full(len(v), langs.index(lang)) for lang, v in kept.items()])
-    x /= np.sqrt(np.maximum(x.sum(1), 1))[:, None]
-    step = np.linspace(0, len(x) - 1, min(landmarks, len(x))).astype(int)
-    z = x[step]
-    knm, kmm = (x @ z.T).astype(np.float64), (z @ z.T).astype(np.float64)
-    target = np.where(y[:, None] == np.arange(len(langs)), 1.0, 0.0)
-    count = np.bincount(y, minlength=len(langs))
-    sw = (len(y) / (len(langs) * np.maximum(count, 1)))[y]
-    a = knm.T @ (knm * sw[:, None]) + ridge * len(x) * kmm / len(z) + 1e-6 * np.eye(len(z))
-    alpha = np.linalg.solve(a, knm.T @ (target * sw[:, None]))
-    return LanguageModel(langs, (z.T @ alpha).astype(np.float32))
+                p = np.packbits(presence(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]), axis=1)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(3)), pa.array([r.tobytes() for r in p], pa.binary())], names=["lang", "o", "t", "bits"])
+
+    once = keyed.join(picked, ["lang", "o", "t"], "left_semi").dropDuplicates(["lang", "o", "t"])
+    rows = write_shared(once.mapInArrow(features, "lang string, o long, t long, bits binary"), "language-presence")
+    drop_shared(picked)
+    count = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    langs = sorted(count)
+    if not langs:
+        return LanguageModel([], np.zeros((DIM, 0), np.float32))
+    marks = _smallest(rows, -(-max(landmarks, len(langs)) // len(langs)), "o", "t").orderBy("lang", "o", "t")
+    bits = [bytes(r.bits) for r in marks.select("bits").toLocalIterator()]
+    shared = spark.sparkContext.broadcast(bits)
+
+    def kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = _kernel(batch.column(1).to_pylist(), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in k], pa.binary())], names=["lang", "k"])
+
+    total, m = sum(count.values()), len(bits)
+    gram, target = np.zeros((m, m)), np.zeros((m, len(langs)))
+    held: dict[str, list] = {}
+
+    def add(lang: str) -> None:
+        k = np.frombuffer(b"".join(held.pop(lang)), np.float64).reshape(-1, m)
+        weight = total / (len(langs) * count[lang])  # every language counts the same
+        gram[:] += weight * (k.T @ k)
+        target[:, langs.index(lang)] += weight * k.sum(0)
+
+    for r in rows.orderBy("lang", "o", "t").select("lang", "bits").mapInArrow(kernels, "lang string, k binary").toLocalIterator():
+        held.setdefault(r.lang, []).append(bytes(r.k))
+        if len(held[r.lang]) >= 1024:
+            add(r.lang)
+    for lang in list(held):
+        add(lang)
+    shared.destroy()
+    drop_shared(rows)
+    alpha = np.linalg.solve(gram + ridge * total * _kernel(bits, bits) / m + 1e-6 * np.eye(m), target)
+    weights = np.zeros((DIM, len(langs)))
+    for i in range(0, m, 64):
+        weights += _unpacked(bits[i : i + 64]).T @ alpha[i : i + 64]
+    return LanguageModel(langs, weights.astype(np.float32))
+
+
+def _kernel(x: list[bytes], z: list[bytes]) -> np.ndarray:
+    """Kernel values of all pairs, in blocks of bounded size."""
+    out = np.zeros((len(x), len(z)))
+    for i in range(0, len(x), 128):
+        a = _unpacked(x[i : i + 128])
+        for j in range(0, len(z), 64):
+            out[i : i + 128, j : j + 64] = a @ _unpacked(z[j : j + 64]).T
+    return out
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
