@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import decontaminate, dedup, language, mixing, neardup
-from tracelake.llm._spark import crc_bucket, small_batches, table, write_shared
+from tracelake.llm._spark import crc_bucket, drop_shared, small_batches, table, write_shared
 
 #: A repeated window of the third stage: so many bytes, or so many words, as a passage of over 50 words may be shorter.
 REPEAT_BYTES, REPEAT_WORDS = 240, 51
@@ -48,9 +48,9 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents contaminated with benchmark items."""
+    """Drops documents that hold a verbatim run of 13 words of a benchmark item, or 5 % words of shorter items."""
     small_batches(spark)
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), any_window=True)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +72,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = write_shared(stage(spark, docs, sf_dir), name)
+        if read is not None:
+            drop_shared(read)
+        read = docs
     return STAGES[-1][1](spark, docs, sf_dir)
