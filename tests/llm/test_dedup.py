@@ -4,6 +4,8 @@ import hashlib
 import random
 from collections import Counter
 
+from test_pipeline import cut as cut_words
+
 from tracelake.llm.dedup import remove_repeats
 
 WINDOW = 40
@@ -55,6 +57,17 @@ def test_digest_equals_brute_force(spark):
         assert sorted(got, key=key) == sorted(brute(rows), key=key)
 
 
+def test_word_runs(spark):
+    rows = [(i, t, len(t or "")) for i, t in case(5)]
+    df = spark.createDataFrame([r for r in rows if r[0] is not None and r[0] != 65], "doc_id long, text string, n long").repartition(3)
+    want = {x[0]: x[1] for x in cut_words([(*r, None, None) for r in rows if r[0] is not None and r[0] != 65], 6)}
+    got = {r.doc_id: r.text for r in remove_repeats(df, 6, unit="words").collect()}
+    assert {i: t for i, t in got.items() if t and t.strip(" ")} == {i: t for i, t in want.items() if t}
+    noted = {r.doc_id: (r.n_removed, r.repeats_passage) for r in remove_repeats(df, WINDOW, digest=True, note_words=6).collect()}
+    assert {i for i, (_, x) in noted.items() if x} == {i for i, t, _ in rows if i in got and got[i] != t}
+    assert {i: n for i, (n, _) in noted.items()} == {x[0]: x[2] for x in brute([r[:2] for r in rows if r[0] is not None and r[0] != 65])}
+
+
 def test_texts_stay_valid_and_columns_stay(spark):
     rows = [(1, "é" * 60 + "a", "k", 1), (2, "é" * 60 + "b", "l", 2), (3, None, None, 3), (4, "clean text", "m", 4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string, k1 int")

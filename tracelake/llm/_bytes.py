@@ -91,16 +91,21 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow, _ipow
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums from which span_hash() takes the hash of any span; length len(data) + 1."""
-    p, _ = powers(len(data))
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[data] * p[: len(data)], dtype=np.uint64, out=out[1:])
+def prefix_sums(codes: np.ndarray) -> np.ndarray:
+    """Prefix sums from which span_hash() takes the hash of any span of a sequence of 64-bit codes; length len(codes) + 1."""
+    p, _ = powers(len(codes))
+    out = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * p[: len(codes)], dtype=np.uint64, out=out[1:])
     return out
 
 
+def prefix_hash(data: np.ndarray) -> np.ndarray:
+    """prefix_sums() of bytes."""
+    return prefix_sums(BYTE_CODE[data])
+
+
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the bytes start..end: depends on these bytes alone."""
+    """Hash of the elements start..end: depends on these alone."""
     _, ip = powers(len(prefix))
     return mix((prefix[end] - prefix[start]) * ip[start] + (end - start).astype(np.uint64))
 

@@ -18,7 +18,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return dedup.remove_repeats(table(spark, sf_dir, "documents"), window=400, digest=True)
+    return dedup.remove_repeats(table(spark, sf_dir, "documents"), window=400, digest=True, note_words=dedup.PASSAGE)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,31 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
+OP2_SQL = r"""
+WITH raw AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS x FROM documents
+), seg AS (  -- 1000 window starts a row, so that substr() has little to skip
+  SELECT r, g AS base, substr(x, 2 * g + 1, 2798) AS s FROM raw, unnest(generate_series(0, len(x) // 2 - 400, 1000)) AS q(g)
+), win AS (
+  SELECT r, base + p AS a, hash(substr(s, 2 * p + 1, 800)) AS h FROM seg, unnest(generate_series(0, least(999, len(s) // 2 - 400))) AS q(p)
+), again AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1
+), hit AS (
+  SELECT r, a, a > coalesce(lag(a) OVER (PARTITION BY r ORDER BY a), -401) + 400 AS fresh FROM win SEMI JOIN again USING (h)
+), isle AS (SELECT r, a, sum(fresh::int) OVER (PARTITION BY r ORDER BY a) AS i FROM hit
+), span AS (SELECT r, i, min(a) AS a, max(a) + 400 AS z FROM isle GROUP BY r, i
+), rest AS (  -- the bytes before each span, and those behind the last
+  SELECT raw.r, i, substr(x, 2 * f + 1, 2 * (a - f)) AS b FROM raw JOIN (SELECT r, i, a, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS f FROM span) USING (r)
+  UNION ALL SELECT raw.r, NULL, substr(x, 2 * coalesce(z, 0) + 1) FROM raw LEFT JOIN (SELECT r, max(z) AS z FROM span GROUP BY r) USING (r)
+), left_over AS (SELECT r, sha256(unhex(string_agg(b, '' ORDER BY i NULLS LAST))) AS s FROM rest GROUP BY r
+), total AS (SELECT r, sum(z - a) AS n, count(*) AS k FROM span GROUP BY r
+), dw AS (SELECT r, regexp_extract_all(t, '[^\x{20}\x{09}-\x{0D}]+') AS w FROM raw
+), wwin AS (SELECT r, hash(array_to_string(w[p:p + 48], ' ')) AS h FROM dw, unnest(generate_series(1, len(w) - 48)) AS q(p)
+), noted AS (SELECT DISTINCT r FROM wwin SEMI JOIN (SELECT h FROM wwin GROUP BY h HAVING count(*) > 1) USING (h)
+)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(k, 0) AS BIGINT) AS n_spans, s AS kept_sha256, noted.r IS NOT NULL AS repeats_passage
+FROM raw JOIN left_over USING (r) LEFT JOIN total USING (r) LEFT JOIN noted USING (r)
+"""
+
 OP6_SQL = r"""
 WITH RECURSIVE dw AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{20}\x{09}-\x{0D}]+') AS w FROM documents
@@ -116,10 +141,11 @@ OP10_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), q AS (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 50 = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
-), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+  SELECT q.vec_id AS query_id, q.e, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, e ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
@@ -132,4 +158,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash_neardup": OP6_SQL, "op9_decontamination": OP9_SQL, "op10_exact_topk": OP10_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op6_minhash_neardup": OP6_SQL, "op9_decontamination": OP9_SQL, "op10_exact_topk": OP10_SQL}

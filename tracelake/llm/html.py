@@ -1,11 +1,15 @@
-"""Main text of web pages: structure and a host suffix array.
-
-Pages become streams of blocks. Menus, headers, footers, sidebars, notices, adverts, forms and comments go
-by their elements, roles, classes and ids. Boilerplate that structure does not tell is found by repetition: the
-token streams of all pages of a host are ordered by suffix through a window of tokens, and windows that stand on
-a large share of the host's distinct pages cover boilerplate. If a page marks its article (article, main), the
-blocks in there are its text and only blocks that are covered from end to end go; on other pages the runs that
-nothing covers are kept. A page that would lose all its text keeps it.
+"""Main text of web pages: a host suffix array, then structure.
+
+Pages become streams of blocks: all visible text, menus and footers too. The token streams of a host's pages are
+ordered by suffix to the depth of a window; windows that stand on a large share of the host's distinct pages
+are boilerplate, and what they cover is taken out. Of the rest, structure keeps the main text: menus, headers,
+footers, sidebars, notices, adverts, forms and comments go by their elements, roles, classes and ids. If a page
+marks its article (article, main), the blocks in there are its text and only blocks that are covered from end to
+end go; on other pages the runs that nothing covers are kept. A page that would lose all its text keeps it.
+
+The array is built chunk by chunk, within a scan. A window on the needed share of a host's pages has that share in
+one chunk at least, so the chunks name all candidates, and only candidates are counted across chunks: the
+unique windows of articles never leave their task.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ import hashlib
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm import _bytes as B
-from tracelake.llm._spark import write_shared
+from tracelake.llm._spark import drop_shared, write_shared
 
 #: Tokens of a window (shorter blocks are one window); pages and share of a host's distinct pages that make it boilerplate.
 WINDOW, PAGES, SHARE = 8, 2, 0.5
-#: Boilerplate windows that are broadcast; more are joined.
-HELD = 1 << 19
+#: Tokens of a chunk of the suffix array; candidate or boilerplate windows that are broadcast (8 bytes each), more are joined.
+CHUNK, HELD = 1 << 21, 1 << 20
+#: Bits of the map of main texts that stand in more than one row.
+_BITS = 1 << 23
+#: Kinds of blocks: outside any article, in an article, given up by structure.
+PLAIN, ARTICLE, ASIDE = 0, 1, 2
 
 # fixed values of HTML: void elements, elements that begin a new block, raw text elements
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,13 +44,19 @@ _BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 _RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes".split())
-_DROP = frozenset("head script style noscript template svg math iframe canvas object audio video nav aside footer form button select textarea dialog menu datalist map".split())
+_SILENT = frozenset("head script style noscript template svg math iframe canvas object audio video select textarea datalist map".split())
+_DROP = _SILENT | frozenset("nav aside footer form button dialog menu".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+# words of class and id names for what is no main text, and words that may stand beside them in a name
 _MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert "
     "popup modal overlay newsletter subscribe subscription signup sidebar rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager share sharing social "
     "related recommended recommendations comment comments commentlist respond replies disqus footer masthead toolbar widget widgets skip".split()
 )
+_BESIDE = frozenset(
+    "site page main global top bottom left right primary secondary box bar block list wrapper wrap container section area panel inner outer item items link links button buttons "
+    "form content message text title unit slot zone row col column group post posts body".split()
+)
 _KEEP = frozenset("html body article main".split())
 _CLOSED_BY = {"p": _BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "option": frozenset(["option", "optgroup"])}
 _TAG = re.compile(r"""<(?:!--|([!?])|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>)""")
@@ -49,57 +64,83 @@ _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PART = re.compile(r"[^a-z0-9]+")
 # white space of HTML and of text: what str.split() splits at
+_HOLDS = re.compile(r"<(?:article|main)(?=[\s>])", re.I)
 _HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
 
 
-def _dropped(tag: str, attrs: str, in_article: bool) -> bool:
+def _marked(value: str) -> bool:
+    """Whether one of the names in a class or id attribute is made of mark words, with at most neutral words beside them."""
+    for name in value.split():
+        parts = [x for x in _PART.split(name) if x and not x.isdigit()]
+        if parts and not _MARKS.isdisjoint(parts) and all(x in _MARKS or x in _BESIDE for x in parts):
+            return True
+    return False
+
+
+def _dropped(tag: str, attrs: str, in_article: bool) -> int:
+    """0: stays; 1: goes; 2: goes unless it holds the page's article."""
+    if tag in ("form", "dialog"):
+        return 2
     if tag in _DROP or tag == "header" and not in_article:
-        return True
+        return 1
     if tag in _KEEP or not attrs or "=" not in attrs and "hidden" not in attrs.lower():
-        return False
+        return 0
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _ROLES:
-            return True
-        if name in ("class", "id") and not _MARKS.isdisjoint(_PART.split(value)):
-            return True
-    return False
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _ROLES or name in ("class", "id") and _marked(value):
+            return 2
+    return 0
+
+
+def _end_of(page: str, tag: str, at: int) -> int:
+    """Where the element ends whose start tag ends at `at`; the page's end if it is not closed."""
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])", re.I).finditer(page, at):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return m.start()
+    return len(page)
 
 
 def blocks(page: str) -> tuple[list[str], bool]:
     """(texts, marked): the blocks of the page's marked article, or of its whole body if it marks none."""
-    return _main(_all_blocks(page))
+    return main_blocks(all_blocks(page))
 
 
-def _main(out: list[tuple[str, bool]]) -> tuple[list[str], bool]:
-    marked = any(a for _, a in out)
-    return [t for t, a in out if a or not marked], marked
+def main_blocks(found: list[tuple[str, int]]) -> tuple[list[str], bool]:
+    marked = any(k == ARTICLE for _, k in found)
+    return [t for t, k in found if k == (ARTICLE if marked else PLAIN)], marked
 
 
-def _all_blocks(page: str) -> list[tuple[str, bool]]:
-    """(text, whether it stands in a marked article) of every block."""
-    out: list[tuple[str, bool]] = []
+def all_blocks(page: str, strict: bool = True) -> list[tuple[str, int]]:
+    """(text, kind) of every block of visible text, in page order. If structure leaves no main text, forms and marks count as neutral."""
+    out: list[tuple[str, int]] = []
     text: list[str] = []
+    side: list[str] = []  # text within a dropped element
     article = 0  # depth of article and main elements
     skip, depth = "", 0  # the dropped element that we are in, and how deep its own kind is nested
+    holds = [m.start() for m in _HOLDS.finditer(page)]
 
-    def flush() -> None:
-        if text:
-            t = "".join(text)
+    def flush(parts: list[str], kind: int) -> None:
+        if parts:
+            t = "".join(parts)
             if "&" in t:
                 t = html.unescape(t)
             t = " ".join(t.split())
             if t:
-                out.append((t, article > 0))
-            text.clear()
+                out.append((t, kind))
+            parts.clear()
 
     at, n = 0, len(page)
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
             lt = n
-        if lt > at and not skip:
-            text.append(page[at:lt])
+        if lt > at:
+            if not skip:
+                text.append(page[at:lt])
+            elif skip not in _SILENT:
+                side.append(page[at:lt])
         if lt == n:
             break
         m = _TAG.match(page, lt) or _LOOSE.match(page, lt)
@@ -118,10 +159,13 @@ def _all_blocks(page: str) -> list[tuple[str, bool]]:
         ends, tag, attrs = (m[2], m[3].lower(), m[4]) if m.re is _TAG else (m[1], m[2].lower(), m[3])
         at = m.end()
         if skip:
+            if tag in _BLOCK or tag == "br":
+                flush(side, ASIDE)
             if tag == skip:
                 depth += -1 if ends else (0 if attrs.endswith("/") else 1)
             implied = not ends and tag in _CLOSED_BY.get(skip, ())
             if depth <= 0 or implied or ends and tag in ("html", "body"):
+                flush(side, ASIDE)
                 skip = ""
                 if not implied:
                     continue
@@ -131,15 +175,20 @@ def _all_blocks(page: str) -> list[tuple[str, bool]]:
                 continue
         if ends:
             if tag in _BLOCK:
-                flush()
+                flush(text, ARTICLE if article else PLAIN)
             if tag in ("article", "main"):
                 article = max(0, article - 1)
             continue
         if tag in _BLOCK:
-            flush()
+            flush(text, ARTICLE if article else PLAIN)
         if tag == "br":
             text.append(" ")
-        if _dropped(tag, attrs, article > 0):
+        goes = _dropped(tag, attrs, article > 0)
+        if goes == 2 and not strict:
+            goes = 0
+        if goes == 2 and not article and holds and holds[-1] > at and tag not in _VOID:
+            goes = 0 if holds[-1] < _end_of(page, tag, at) else 1  # a frame around the article is no mark
+        if goes:
             if tag in _RAW:
                 at = _after_raw(page, tag, at)
             elif tag not in _VOID and not attrs.endswith("/"):
@@ -151,7 +200,10 @@ def _all_blocks(page: str) -> list[tuple[str, bool]]:
             at = _after_raw(page, tag, at)
         elif tag in ("article", "main"):
             article += 1
-    flush()
+    flush(side, ASIDE)
+    flush(text, ARTICLE if article else PLAIN)
+    if strict and out and all(k == ASIDE for _, k in out):
+        return all_blocks(page, False)
     return out
 
 
@@ -178,47 +230,204 @@ def _windows(texts: list[str], window: int) -> tuple[np.ndarray, np.ndarray, np.
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _streams(batches: Iterator[pa.RecordBatch], window: int, every: bool) -> Iterator[tuple]:
-    """(batch, row, main texts, windows): windows of every block or of the main ones, tied to the host; batches are (host hash, html, ...)."""
+def _parsed(pages: DataFrame) -> DataFrame:
+    """(page_id, url, host, content, texts, kinds) of (page_id, url, html, host): every row's blocks, and a hash of host and main text (null without any)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, kinds, content = [], [], []
+            for page, host in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                found = all_blocks(page or "")
+                main, _ = main_blocks(found)
+                texts.append([t for t, _ in found])
+                kinds.append(bytes(k for _, k in found))
+                h = hashlib.blake2b("\n\n".join(main).encode(), digest_size=8, key=host.to_bytes(8, "little", signed=True))
+                content.append(int.from_bytes(h.digest(), "little", signed=True) if main else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(content, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.binary())], names=["page_id", "url", "host", "content", "texts", "kinds"])
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return pages.select("page_id", "url", "html", "host").mapInArrow(run, f"page_id {kind}, url string, host long, content long, texts array<string>, kinds binary")
+
+
+def suffix_groups(tokens: np.ndarray, block: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, group) of every window: suffixes ordered to the depth of a window by doubling their known prefix.
+
+    tokens are hashes, block numbers the block of each token. Windows stay within a block; a block shorter than
+    a window is one window. Equal windows have equal group numbers, which follow the order of suffixes.
+    """
+    n = len(tokens)
+    last = np.flatnonzero(np.r_[block[1:] != block[:-1], True]) if n else np.zeros(0, np.int64)
+    left = last[np.searchsorted(last, np.arange(n))] - np.arange(n) + 1  # tokens up to the block's end
+    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
+    depth = 1
+    while depth < window:
+        step = min(depth, window - depth)
+        after = np.zeros(n, np.int64)  # the suffix behind the known prefix; nothing beyond the block
+        inside = np.flatnonzero(left > step)
+        after[inside] = rank[inside + step]
+        rank = np.unique(rank * (rank.max(initial=0) + 1) + after, return_inverse=True)[1].astype(np.int64) + 1
+        depth += step
+    first = np.r_[True, block[1:] != block[:-1]] if n else np.zeros(0, bool)
+    start = np.flatnonzero((left >= window) | first)
+    return start, rank[start]
+
+
+def _tokens(host: pa.Array, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash tied to the host, block, page) of each token of lists of block texts; blocks are numbered through."""
+    data, offs = B.column_bytes(lists.flatten())
+    page_of = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths().fill_null(0)))
+    s, e, first = B.words(data, offs, ~B.byte_table((0x20, 0x20)))
+    block = B.owner(first)
+    page = page_of[block]
+    return B.mix(B.word_hashes(data, s, e) ^ B.mix(np.asarray(host).view(np.uint64)[page])), block, page
+
+
+@dataclass
+class _Chunk:
+    """Pages of distinct main text, at least one, and their token streams."""
+
+    need: np.ndarray  # a page: pages that make a window of its host boilerplate
+    total: np.ndarray  # a page: pages of its host
+    host: np.ndarray
+    content: np.ndarray
+    tokens: np.ndarray
+    block: np.ndarray
+    page: np.ndarray
+
+    def names(self, window: int, start: np.ndarray) -> np.ndarray:
+        return _window_hash(self.tokens, self.block, start, window)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
+    """Chunks of (host, texts, content, need, total)."""
+    held: list[tuple] = []
+    size = 0
+
+    def joined() -> _Chunk:
+        pages = [np.concatenate([x[i] for x in held]) for i in range(4)]
+        shift = np.cumsum([0, *[len(x[0]) for x in held[:-1]]])
+        step = np.cumsum([0, *[int(x[5][-1]) + 1 if len(x[5]) else 0 for x in held[:-1]]])
+        page = np.concatenate([x[6] + k for x, k in zip(held, shift)])
+        once = np.zeros(len(pages[0]), bool)
+        once[np.unique(pages[1], return_index=True)[1]] = True
+        keep = once[page]
+        number = np.cumsum(once) - 1
+        tokens, block = np.concatenate([x[4] for x in held])[keep], np.concatenate([x[5] + k for x, k in zip(held, step)])[keep]
+        host, content, need, total = (x[once] for x in pages)
+        return _Chunk(need, total, host, content, tokens, block, number[page[keep]])
+
     for batch in batches:
-        hosts = np.asarray(batch.column(0)).view(np.uint64)
-        for i, page in enumerate(batch.column(1).to_pylist()):
-            found = _all_blocks(page or "")
-            if found:
-                texts, _ = _main(found)
-                w, first, n = _windows([t for t, _ in found] if every else texts, window)
-                yield batch, i, texts, (B.mix(w ^ B.mix(hosts[i : i + 1])).view(np.int64), first, n)
+        tokens, block, page = _tokens(batch.column(0), batch.column(1))
+        if len(tokens):
+            held.append((*(np.asarray(batch.column(i)).astype(np.int64) for i in (0, 2, 3, 4)), tokens, block, page))
+            size += len(tokens)
+        if size >= CHUNK:
+            yield joined()
+            held, size = [], 0
+    if held:
+        yield joined()
+
+
+def _starts(block: np.ndarray, window: int) -> np.ndarray:
+    """Where windows start: all of a window's tokens stand in one block; a shorter block is one window."""
+    n = len(block)
+    first = np.r_[True, block[1:] != block[:-1]] if n else np.zeros(0, bool)
+    full = np.zeros(n, bool)
+    if n >= window:
+        full[: n - window + 1] = block[: n - window + 1] == block[window - 1 :]
+    return np.flatnonzero(full | first)
+
+
+def _window_hash(tokens: np.ndarray, block: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
+    """A 64-bit name of the window at each start."""
+    return B.span_hash(B.prefix_sums(tokens), start, _ends(block, start, window)).view(np.int64)
 
 
-def _boilerplate(keyed: DataFrame, window: int, min_pages: int, share: float) -> DataFrame:
+def _ends(block: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
+    return np.minimum(start + window, np.searchsorted(block, block[start], "right"))
+
+
+def _on_pages(name: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of one, name's number) of each distinct (name, page), in the order of names."""
+    o = np.lexsort((page, name))
+    a, b = name[o], page[o]
+    fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+    new = np.r_[True, a[1:] != a[:-1]] if len(a) else fresh
+    return o[fresh], (np.cumsum(new) - 1)[fresh]
+
+
+def _boilerplate(parsed: DataFrame, window: int, min_pages: int, share: float, held: int) -> DataFrame:
     """(w): the windows that stand on so many pages of distinct main text, and so large a share of these, of their host."""
+    sc = parsed.sparkSession.sparkContext
+    contents = write_shared(parsed.where("content is not null").groupBy("host", "content").agg(F.count(F.lit(1)).alias("n")), "page-contents")
+    need = F.greatest(F.lit(min_pages), F.ceil(F.count(F.lit(1)) * share)).cast("bigint")
+    hosts = write_shared(contents.groupBy("host").agg(F.count(F.lit(1)).alias("total"), need.alias("need")).where("total >= need"), "hosts")
+    # a bit map of bounded size over main texts that more than one row has; a false hit costs a row, not the result
+    words = contents.where("n > 1").groupBy(F.expr(f"pmod(content, {_BITS}) div 64").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(content & 63 as int))")).alias("b")).collect()
+    copied = np.zeros(_BITS // 64, np.int64)
+    for r in words:
+        copied[r.i] = r.b
+    copies = sc.broadcast(copied)
+    source = parsed.where("content is not null").join(hosts, "host").select("host", "texts", "content", "need", "total")
+
+    def shared_text(c: _Chunk) -> np.ndarray:
+        at = c.content & (_BITS - 1)
+        return (copies.value[at >> 6] >> (at & 63)) & 1 == 1
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in _chunks(batches):
+            start, group = suffix_groups(c.tokens, c.block, window)
+            one, number = _on_pages(group, c.page[start])
+            pages = np.bincount(number)
+            at = start[one[np.r_[True, number[1:] != number[:-1]]]]
+            host_no = np.unique(c.host, return_inverse=True)[1]
+            own = np.bincount(host_no, weights=~shared_text(c), minlength=host_no.max() + 1)[host_no]
+            p = c.page[at]
+            keep = pages * c.total[p] >= own[p] * c.need[p]
+            yield pa.RecordBatch.from_arrays([pa.array(c.names(window, at[keep]))], names=["w"])
+
+    found = write_shared(source.mapInArrow(candidates, "w long").distinct(), "boilerplate-candidates")
+    few = found.limit(held + 1).count() <= held
+    known = sc.broadcast(_sorted_windows(found) if few else None)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in _chunks(batches):
+            start = _starts(c.block, window)
+            w = c.names(window, start)
+            if known.value is not None:
+                hit = _among(w, known.value)
+                start, w = start[hit], w[hit]
+            one, number = _on_pages(w, c.page[start])
+            p = c.page[start[one]]
+            copy = shared_text(c)[p]
+            plain = np.bincount(number[~copy], minlength=number.max(initial=-1) + 1)
+            first = one[np.r_[True, number[1:] != number[:-1]]] if len(one) else one
+            some = plain > 0
+            w_ = np.r_[w[first][some], w[one][copy]]
+            c_ = pa.array(np.r_[np.zeros(some.sum(), np.int64), c.content[p[copy]]], mask=np.r_[np.ones(some.sum(), bool), np.zeros(copy.sum(), bool)])
+            host = c.host[c.page[start]]
+            yield pa.RecordBatch.from_arrays([pa.array(w_), c_, pa.array(np.r_[plain[some], np.ones(copy.sum(), np.int64)]), pa.array(np.r_[host[first][some], host[one][copy]])], names=["w", "c", "n", "host"])
+
+    counted = source.mapInArrow(counts, "w long, c long, n long, host long")
+    if not few:
+        counted = counted.join(found, "w", "left_semi")
+    # a copied main text counts once, whatever the chunks it stands in
+    by_text = counted.groupBy("host", "w", "c").agg(F.sum("n").alias("n"))
+    total = by_text.groupBy("host", "w").agg(F.sum(F.when(F.col("c").isNull(), F.col("n")).otherwise(1)).alias("pages"))
+    out = write_shared(total.join(hosts, "host").where("pages >= need").select("w"), "boilerplate")
+    copies.destroy()
+    known.destroy()
+    for x in (contents, hosts, found):
+        drop_shared(x)
+    return out
 
-    def listed(batches: Iterator[pa.RecordBatch], lists: bool) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, content, ws = [], [], []
-            if lists:
-                for _, i, texts, (w, _, _) in _streams([batch], window, True):
-                    at.append(i), content.append("\n\n".join(texts)), ws.append(np.unique(w))
-            else:
-                for i, page in enumerate(batch.column(1).to_pylist()):
-                    if texts := blocks(page or "")[0]:
-                        at.append(i), content.append("\n\n".join(texts))
-            h = [int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little", signed=True) for t in content]
-            out = {"host": batch.column(0).take(pa.array(at, pa.int64())), "content": pa.array(h, pa.int64())}
-            if lists:
-                out["ws"] = pa.array(ws, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_pydict(out)
-
-    source = keyed.select("host", "html")
-    pages = write_shared(source.mapInArrow(lambda x: listed(x, False), "host long, content long").groupBy("host", "content").agg(F.count(F.lit(1)).alias("n")), "page-contents")
-    need = F.greatest(F.lit(min_pages), F.ceil(F.count(F.lit(1)) * share)).cast("int")
-    hosts = write_shared(pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), need.alias("need")).where("pages >= need").select("host", "need"), "hosts")
-    copies = write_shared(pages.where("n > 1").select("host", "content", F.col("content").alias("c")), "page-copies")
-    rows = source.mapInArrow(lambda x: listed(x, True), "host long, content long, ws array<long>").join(hosts, "host").join(copies, ["host", "content"], "left")
-    # copies of a page carry their content and count once; a hot host is spread over its windows
-    counted = rows.select(F.explode("ws").alias("w"), "c", "need").repartition("w").groupBy("w", "c").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
-    total = counted.groupBy("w").agg(F.sum(F.when(F.col("c").isNull(), F.col("n")).otherwise(1)).alias("pages"), F.first("need").alias("need"))
-    return write_shared(total.where("pages >= need").select("w"), "boilerplate")
+
+def _sorted_windows(table: DataFrame) -> np.ndarray:
+    return np.sort(np.asarray(table.select("w").toArrow().column("w").combine_chunks()))
+
+
+def _among(w: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return table[np.minimum(np.searchsorted(table, w), len(table) - 1)] == w if len(table) else np.zeros(len(w), bool)
 
 
 def extract_text(pages: DataFrame, window: int = WINDOW, min_pages: int = PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = SHARE, held: int = HELD) -> DataFrame:
@@ -231,57 +440,68 @@ def extract_text(pages: DataFrame, window: int = WINDOW, min_pages: int = PAGES,
     """
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     host = F.xxhash64(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1)))
-    keyed = p.withColumns({"host": host, "page": F.xxhash64("page_id", "url", "html")})
-    boiler = _boilerplate(keyed, window, min_pages, share)
+    parsed = write_shared(_parsed(p.withColumn("host", host)), "page-blocks")
+    boiler = _boilerplate(parsed, window, min_pages, share, held)
     few = boiler.limit(held + 1).count() <= held
-    known = p.sparkSession.sparkContext.broadcast(np.sort(np.asarray(boiler.toArrow().column("w").combine_chunks())) if few else np.zeros(0, np.int64))
+    known = p.sparkSession.sparkContext.broadcast(_sorted_windows(boiler) if few else None)
+    rows = parsed if few else parsed.withColumn("rid", F.monotonically_increasing_id())
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = known.value
         for batch in batches:
-            spans_at = batch.schema.get_field_index("spans")
-            texts = [""] * len(batch)
-            hosts = np.asarray(batch.column(3)).view(np.uint64)
-            for i, page in enumerate(batch.column(2).to_pylist()):
-                got, marked = blocks(page or "")
-                spans = (batch.column(spans_at)[i].as_py() or []) if spans_at >= 0 else []
-                if len(table) and got:
-                    w, first, n = _windows(got, window)
-                    w = B.mix(w ^ B.mix(hosts[i : i + 1])).view(np.int64)
-                    hit = table[np.minimum(np.searchsorted(table, w), len(table) - 1)] == w
-                    spans = [{"first": a, "n": b} for a, b in zip(first[hit], n[hit])]
-                if spans:
-                    got = uncovered(got, spans, marked) or got
-                texts[i] = "\n\n".join(got)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            i = batch.schema.get_field_index
+            lists = batch.column(i("texts"))
+            if known.value is not None:
+                tokens, block, _ = _tokens(batch.column(i("host")), lists)
+                start = _starts(block, window)
+                start = start[_among(_window_hash(tokens, block, start, window), known.value)]
+                end = _ends(block, start, window)
+            else:
+                _, block, page = _tokens(batch.column(i("host")), lists)
+                spans = batch.column(i("spans"))
+                row = np.repeat(np.arange(len(spans)), np.asarray(spans.value_lengths().fill_null(0)))
+                flat = spans.flatten()
+                start = np.searchsorted(page, row) + np.asarray(flat.field("first")).astype(np.int64)
+                end = start + np.asarray(flat.field("n"))
+            gone = np.zeros(len(block) + 1, np.int64)
+            np.add.at(gone, start, 1)
+            np.add.at(gone, end, -1)
+            gone = np.cumsum(gone[:-1]) > 0
+            first = np.searchsorted(block, np.arange(len(lists.flatten()) + 1))
+            texts, at = [], 0
+            for found, kinds in zip(lists.to_pylist(), batch.column(i("kinds")).to_pylist()):
+                texts.append("\n\n".join(_kept(found, kinds, [gone[first[at + k] : first[at + k + 1]] for k in range(len(found))])))
+                at += len(found)
+            yield pa.record_batch([batch.column(i("page_id")), batch.column(i("url")), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     out = f"page_id {p.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
     if few:
-        return keyed.select("page_id", "url", "html", "host").mapInArrow(finish, out)
+        return rows.mapInArrow(finish, out)
 
     def covering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, i, _, (w, first, n) in _streams(batches, window, False):
-            yield pa.record_batch([batch.column(2).take(pa.array(np.full(len(w), i))), pa.array(w), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=["page", "w", "first", "n"])
-
-    windows = keyed.select("host", "html", "page").mapInArrow(covering, "page long, w long, first int, n int")
-    covered = windows.join(boiler, "w").select("page", "first", "n").distinct()
-    spans = write_shared(covered.groupBy("page").agg(F.collect_list(F.struct("first", "n")).alias("spans")), "page-spans")
-    return keyed.join(spans, "page", "left").select("page_id", "url", "html", "host", "spans").mapInArrow(finish, out)
-
-
-def uncovered(texts: list[str], spans: list, whole: bool = False) -> list[str]:
-    """The runs of tokens that no span covers, block by block; with whole, each block that spans do not cover from end to end."""
-    words = [t.split(" ") for t in texts]
-    gone = np.zeros(sum(map(len, words)) + 1, np.int64)
-    for s in spans:
-        gone[s["first"]] += 1
-        gone[s["first"] + s["n"]] -= 1
-    gone = np.cumsum(gone) > 0
-    out, at = [], 0
-    for w in words:
-        some = gone[at : at + len(w)]
-        kept = " ".join(x for x, g in zip(w, some) if not g or whole and not some.all())
-        at += len(w)
-        if kept:
-            out.append(kept)
-    return out
+        for batch in batches:
+            tokens, block, page = _tokens(batch.column(0), batch.column(1))
+            start = _starts(block, window)
+            at = page[start]
+            yield pa.record_batch([batch.column(2).take(pa.array(at)), pa.array(_window_hash(tokens, block, start, window)), pa.array((start - np.searchsorted(page, at)).astype(np.int32)), pa.array((_ends(block, start, window) - start).astype(np.int32))], names=["rid", "w", "first", "n"])
+
+    rows = write_shared(rows, "page-rows")
+    windows = rows.select("host", "texts", "rid").mapInArrow(covering, "rid long, w long, first int, n int")
+    spans = windows.join(boiler, "w", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+    return rows.join(write_shared(spans, "page-spans"), "rid", "left").mapInArrow(finish, out)
+
+
+def _kept(texts: list[str], kinds: bytes, gone: list[np.ndarray]) -> list[str]:
+    """The main text of a page whose covered tokens are known: what nothing covers, of the blocks that structure keeps."""
+    marked = ARTICLE in kinds
+    kind = ARTICLE if marked else PLAIN
+    main = [i for i, k in enumerate(kinds) if k == kind]
+    out = []
+    for i in main:
+        if not gone[i].any():
+            out.append(texts[i])
+        elif marked and not gone[i].all():
+            out.append(texts[i])
+        elif not marked:
+            if rest := " ".join(x for x, g in zip(texts[i].split(" "), gone[i]) if not g):
+                out.append(rest)
+    return out or [texts[i] for i in main]

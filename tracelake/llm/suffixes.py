@@ -1,4 +1,4 @@
-"""Anchors of repeated byte windows, and the depth-limited radix passes that find the repeats."""
+"""Anchors of repeated windows over sequences of 64-bit codes (of bytes or of words), and the depth-limited radix passes that find the repeats."""
 
 from __future__ import annotations
 
@@ -9,20 +9,19 @@ from tracelake.llm import _bytes as B
 GRAM = 64
 
 
-def anchors(data: np.ndarray, offs: np.ndarray, window: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(position, lo, hi, key): winnowed grams that stand for all windows, as positions in data.
+def anchors(codes: np.ndarray, prefix: np.ndarray, offs: np.ndarray, window: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(position, lo, hi, key): winnowed grams that stand for all windows, as positions in codes (prefix: their sums).
 
-    Each window of `window` bytes stands under the leftmost smallest hash of its grams. Equal windows have
+    Each window of `window` elements stands under the leftmost smallest hash of its grams. Equal windows have
     equal grams, so they stand under equal keys at the same distance. lo..hi are the starts of the
     windows that one gram stands for; every window of a document belongs to exactly one entry.
     """
     w = window - gram + 1
     none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    if len(data) < window:
+    if len(codes) < window:
         return none
-    prefix = B.prefix_hash(data)
-    n = len(data) - gram + 1
-    _, ip = B.powers(len(data))
+    n = len(codes) - gram + 1
+    _, ip = B.powers(len(codes))
     v = B.mix((prefix[gram:] - prefix[:n]) * ip[:n])
     low = v.copy()  # smallest of the next w grams, by doubling
     size = 1
@@ -58,12 +57,12 @@ def anchors(data: np.ndarray, offs: np.ndarray, window: int, gram: int = GRAM) -
     return pos, lo, hi, v[pos]
 
 
-def block_digits(data: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, pos: np.ndarray, window: int, width: int, numbers: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+def block_digits(codes: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, pos: np.ndarray, window: int, width: int, numbers: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
     """(row, block, core, whole): two digits for each block of neighbouring windows.
 
-    Row r holds the bytes data[at[r]:] of the windows that start at lo[r]..hi[r]; blocks of `width` starts
+    Row r holds the elements codes[at[r]:] of the windows that start at lo[r]..hi[r]; blocks of `width` starts
     are counted from the anchor pos[r], so equal windows fall in blocks of equal number. core is the hash
-    of what all windows of a full block share, whole that of all bytes of the block as far as the row
+    of what all windows of a full block share, whole that of all elements of the block as far as the row
     has it. numbers (row, block) restricts the result to these blocks.
     """
     if numbers is None:
@@ -76,7 +75,7 @@ def block_digits(data: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarra
     shift = at[row] - lo[row]
     a0 = pos[row] + block * width
     a, z = np.maximum(a0, lo[row]), np.minimum(a0 + width - 1, hi[row])
-    px = B.prefix_hash(data)
+    px = B.prefix_sums(codes)
     core = B.span_hash(px, a0 + width - 1 + shift, a0 + window + shift)
     place = (a - a0).astype(np.uint64) * np.uint64(1 << 32) + (z - a0).astype(np.uint64)
     whole = B.mix(B.span_hash(px, a + shift, z + window + shift) ^ B.mix(place + np.uint64(1)))
