@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 from tracelake.llm import decontaminate, dedup, language, mixing, neardup
 from tracelake.llm._spark import crc_bucket, drop_shared, small_batches, table, write_shared
 
-#: A repeated window of the third stage: so many bytes, or so many words, as a passage of over 50 words may be shorter.
-REPEAT_BYTES, REPEAT_WORDS = 240, 51
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what language identification rejects: null texts and texts without a letter."""
     small_batches(spark)
@@ -36,10 +32,10 @@ def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts out passages that stand in more than one place; documents of which nothing is left go."""
+    """Cuts out passages of over 50 words that stand in more than one place; documents of which nothing is left go."""
     small_batches(spark)
     names = docs.columns
-    cut = dedup.remove_repeats(docs.withColumn("__before", F.length("text")), window=REPEAT_BYTES, words=REPEAT_WORDS)
+    cut = dedup.remove_repeats(docs.withColumn("__before", F.length("text")), window=dedup.PASSAGE, unit=dedup.WORDS)
     changed = F.coalesce(F.length("text") < F.col("__before"), F.lit(False))  # null texts are untouched
     kept = cut.where(~changed | (F.length(F.trim("text")) > 0))
     if "n_chars" in names:
