@@ -12,12 +12,12 @@ def kv(k, kind, v):
     return {"key": k, "value": {"kind": kind, "value": v}}
 
 
-def trace_request(spans, scope=("lib", "1.0"), scope_attrs=(), service="checkout"):
+def trace_request(spans, scope=("probe", "7"), scope_attrs=(), service="mill"):
     return {"resource_spans": [{"resource_attributes": [kv("service.name", "string", service)], "scope_spans": [{"scope_name": scope[0], "scope_version": scope[1], "scope_attributes": list(scope_attrs), "spans": spans}]}]}
 
 
-def one(start=100, end=250, attrs=(), status=None, span_id="span-1", name="GET /checkout"):
-    return {"trace_id": "trace-1", "span_id": span_id, "parent_span_id": None, "name": name, "start_time_unix_nano": start, "end_time_unix_nano": end, "attributes": list(attrs), "status": status}
+def one(start=31, end=77, attrs=(), status=None, span_id="sp-a", name="grind"):
+    return {"trace_id": "tr-a", "span_id": span_id, "parent_span_id": None, "name": name, "start_time_unix_nano": start, "end_time_unix_nano": end, "attributes": list(attrs), "status": status}
 
 
 def flat(spark, *requests):
@@ -25,15 +25,19 @@ def flat(spark, *requests):
     return otlp_json.flatten_traces(otlp_json.parse_trace_requests(df)).withColumn("text", field_map_text())
 
 
-def test_flatten_order_and_values(spark):
-    r = flat(spark, trace_request([one(attrs=[kv("http.method", "string", "GET"), kv("ok", "bool", True), kv("n", "i64", 500), kv("f", "f64", 1.0)], status={"code": 0, "message": "OK"})], scope_attrs=[kv("scope.flag", "string", "enabled")])).first()
-    assert r.text == "resource_attr:service.name=checkout,instrumentation_scope.name=lib,instrumentation_scope.version=1.0,scope_attr:scope.flag=enabled,span_attr:http.method=GET,span_attr:ok=true,span_attr:n=500,span_attr:f=1,status_code=0,status_message=OK"
-    assert r.time_unix_nano == r.end_unix_nano == 250
+def test_fields_keep_their_order_and_become_text(spark):
+    attrs = [kv("grain", "string", "rye"), kv("wet", "bool", False), kv("kilos", "i64", -12), kv("rate", "f64", 2.0), kv("grain", "string", "oat")]
+    r = flat(spark, trace_request([one(attrs=attrs, status={"code": 1, "message": "fine"})], scope_attrs=[kv("unit", "string", "kg")])).first()
+    assert r.text.split(",") == [
+        "resource_attr:service.name=mill", "instrumentation_scope.name=probe", "instrumentation_scope.version=7", "scope_attr:unit=kg",
+        "span_attr:grain=rye", "span_attr:wet=false", "span_attr:kilos=-12", "span_attr:rate=2", "span_attr:grain=oat", "status_code=1", "status_message=fine",
+    ]
+    assert r.time_unix_nano == r.end_unix_nano == 77
 
 
-def test_empty_values_and_names(spark):
-    r = flat(spark, trace_request([one(attrs=[kv("db.statement", "string", "")], name="", span_id="ABCDEF0123456789")], scope=(None, ""), service="")).first()
-    assert r.text == "resource_attr:service.name=-,instrumentation_scope.version=-,span_attr:db.statement=-" and r.name == "" and r.span_id == "abcdef0123456789"
+def test_empty_texts_become_dashes_but_names_stay(spark):
+    r = flat(spark, trace_request([one(attrs=[kv("note", "string", "")], name="", span_id="0011AABBCCDDEEFF")], scope=("", None), service="")).first()
+    assert r.text == "resource_attr:service.name=-,instrumentation_scope.name=-,span_attr:note=-" and r.name == "" and r.span_id == "0011aabbccddeeff"
 
 
 def test_invalid_range(spark):
@@ -49,8 +53,11 @@ def test_bad_json_fails(spark):
         flat(spark, "x").collect()
 
 
-LOG_REQUEST = {"resource_logs": [{"resource_attributes": [kv("service.name", "string", "checkout")], "scope_logs": [{"scope_name": "lib", "scope_version": None, "scope_attributes": [kv("scope.env", "string", "prod")], "log_records": [
-    {"time_unix_nano": 100, "observed_time_unix_nano": 101, "severity_number": 9, "severity_text": "", "body": {"kind": "string", "value": "hello"}, "trace_id": "t", "span_id": None, "attributes": [kv("http.method", "string", "POST")]}]}]}]}
+def log_record(**changed):
+    return {"time_unix_nano": 640, "observed_time_unix_nano": 655, "severity_number": 13, "severity_text": "", "body": {"kind": "string", "value": "stone is worn"}, "trace_id": "tr", "span_id": None, "attributes": [kv("stone", "string", "upper")]} | changed
+
+
+LOG_REQUEST = {"resource_logs": [{"resource_attributes": [kv("service.name", "string", "mill")], "scope_logs": [{"scope_name": "ear", "scope_version": None, "scope_attributes": [kv("unit", "string", "kg")], "log_records": [log_record()]}]}]}
 
 
 def test_logs(spark):
@@ -58,8 +65,8 @@ def test_logs(spark):
 
     df = spark.createDataFrame([(json.dumps(LOG_REQUEST),)], "body string")
     r = otlp_json.flatten_logs(otlp_json.parse_log_requests(df)).withColumn("text", field_map_text()).first()
-    assert r.log_id == "log-100-" + fnv("0:0:0:100:hello:t:-") and r.severity_text == "-" and r.body == "hello"
-    assert r.text == "resource_attr:service.name=checkout,instrumentation_scope.name=lib,scope_attr:scope.env=prod,log_attr:http.method=POST"
+    assert r.log_id == "log-640-" + fnv("0:0:0:640:stone is worn:tr:-") and r.severity_text == "-" and r.body == "stone is worn" and r.severity_number == 13
+    assert r.text == "resource_attr:service.name=mill,instrumentation_scope.name=ear,scope_attr:unit=kg,log_attr:stone=upper"
 
 
 def test_protobuf_traces_round_trip(spark):
@@ -78,7 +85,7 @@ def test_protobuf_traces_round_trip(spark):
 
 
 def test_protobuf_logs_round_trip(spark):
-    df = spark.createDataFrame([(json.dumps(LOG_REQUEST).replace('"t"', '"' + "ab" * 16 + '"'),)], "body string")
+    df = spark.createDataFrame([(json.dumps(LOG_REQUEST).replace('"tr"', '"' + "ab" * 16 + '"'),)], "body string")
     requests = otlp_json.parse_log_requests(df)
     back = otlp_proto.parse_log_requests(otlp_proto.to_log_bodies(requests))
     a, b = otlp_json.flatten_logs(requests).first(), otlp_json.flatten_logs(back).first()
@@ -86,8 +93,9 @@ def test_protobuf_logs_round_trip(spark):
 
 
 def test_other_ids_become_stable_bytes():
-    assert otlp_proto.id_bytes("trace-1", 16) == otlp_proto.id_bytes("trace-1", 16) != otlp_proto.id_bytes("trace-2", 16)
-    assert len(otlp_proto.id_bytes("trace-1", 16)) == 16 and otlp_proto.id_bytes("0aFF", 8) == b"\x0a\xff"
+    named = ["left", "right", "0 ff", "abc", "naïve", "ff-0"]
+    assert len({otlp_proto.id_bytes(x, 16) for x in named * 2}) == len(named) and all(len(otlp_proto.id_bytes(x, n)) == n for x in named for n in (8, 16))
+    assert otlp_proto.id_bytes("C0ffee", 8) == b"\xc0\xff\xee" and otlp_proto.id_bytes(None, 8) == otlp_proto.id_bytes("", 8) == b""
 
 
 def test_truncated_messages_fail():

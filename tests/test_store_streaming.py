@@ -45,12 +45,12 @@ def test_streams_equal_batch(spark, tmp_path):
     store = TraceStore(spark, str(tmp_path / "store"), buckets=2)
     q = ingest.ingest_spans(ingest.span_stream(ingest.stream_bodies(spark, str(inbox), files_per_trigger=1)), store, str(tmp_path / "ck"), str(tmp_path / "bad"))
     q.awaitTermination()
-    assert tuple(T.trace_windows(store.spans()).first()) == ("trace-1", 10, 22) and spark.read.parquet(str(tmp_path / "bad")).count() == 3
+    assert tuple(T.trace_windows(store.spans()).first()) == ("tr-a", 10, 22) and spark.read.parquet(str(tmp_path / "bad")).count() == 3
     schema = store.spans().schema
     running = ingest.running_windows(spark.readStream.schema(schema).parquet(str(tmp_path / "store/spans")))
     q = running.writeStream.outputMode("update").format("memory").queryName("w").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert tuple(spark.sql("select * from w").first()) == ("trace-1", 10, 22, 3)
+    assert tuple(spark.sql("select * from w").first()) == ("tr-a", 10, 22, 3)
 
 
 def test_log_stream_upserts(spark, tmp_path):
@@ -58,7 +58,7 @@ def test_log_stream_upserts(spark, tmp_path):
     inbox.mkdir()
     store = TraceStore(spark, str(tmp_path / "store"))
     for i in range(2):
-        (inbox / f"{i}.json").write_text(json.dumps(LOG_REQUEST).replace("POST", f"M{i}"))
+        (inbox / f"{i}.json").write_text(json.dumps(LOG_REQUEST).replace("upper", f"M{i}"))
         ingest.ingest_logs(ingest.log_stream(ingest.stream_bodies(spark, str(inbox))), store, str(tmp_path / "ck")).awaitTermination()
     assert store.logs().count() == 2
     r = latest(store.logs().drop("day")).select(F.element_at("fields", -1)["value"].alias("v")).collect()

@@ -11,30 +11,31 @@ def ids(df):
     return [r.trace_id for r in df.collect()]
 
 
-def test_get_trace_and_unknown(spark):
-    df = spans_df(spark, [span("trace-1", "span-2", start=200, end=250, fields=[svc("checkout")]), span("trace-1", "span-1", start=100, end=150, fields=[svc("checkout")])])
-    assert [r.span_id for r in T.get_trace(df, "trace-1").collect()] == ["span-1", "span-2"] and T.get_trace(df, "missing").count() == 0
+def test_get_trace_by_end(spark):
+    df = spans_df(spark, [span("boat", f"leg{i}", start=i, end=e) for i, e in enumerate([40, 12, 33, 12, 7])] + [span("car", "leg0")])
+    assert [r.span_id for r in T.get_trace(df, "boat").collect()] == ["leg4", "leg1", "leg3", "leg2", "leg0"] and T.get_trace(df, "plane").count() == 0
 
 
-def test_search_cases(spark):
-    df = spans_df(spark, [
-        span("trace-1", "a", "GET /checkout", 100, 120, [svc("checkout"), ("span_attr:http.method", "GET"), ("status_code", "0")]), span("trace-2", "b", "POST /checkout", 110, 130, [svc("checkout"), ("span_attr:http.method", "POST"), ("status_code", "2")]),
-        span("trace-3", "c", "x", 200, 250, [svc("payments")]),
-    ])
+def test_search_ranges_filters_and_limits(spark):
+    """Nine one-span traces r0..r8 over [10 i, 10 i + 4]; colours and shapes in turns."""
+    colour, shape = ["red", "blue", "green"], ["disc", "cube"]
+    df = spans_df(spark, [span(f"r{i}", "s", shape[i % 2], 10 * i, 10 * i + 4, [svc(colour[i % 3]), ("span_attr:n", str(i // 3))]) for i in range(9)])
     find = lambda **k: ids(T.search_traces(df, TraceSearch(**k)))
-    assert find(start_unix_nano=50, end_unix_nano=150, service_name="checkout") == ["trace-2", "trace-1"]
-    assert find(operation_name="POST /checkout") == ["trace-2"]
-    assert find(field_filters=(FieldFilter("span_attr:http.method", "POST"), FieldFilter("status_code", "2"))) == ["trace-2"]
-    assert find(start_unix_nano=250) == find(start_unix_nano=240, end_unix_nano=260) == ["trace-3"] and find(end_unix_nano=99) == []
-    assert find(end_unix_nano=100) == ["trace-1"] and find(limit=0) == [] and find(limit=1) == ["trace-3"] and len(find(limit=None)) == 3
-    assert find(service_name="-") == find(field_filters=(FieldFilter("name", "x"),)) == find(field_filters=(FieldFilter("duration", "20"),)) == []
+    assert find(limit=None) == [f"r{i}" for i in range(8, -1, -1)] and find(limit=2) == ["r8", "r7"] and find(limit=0) == []
+    assert find(service_name="blue") == ["r7", "r4", "r1"] and find(service_name="blue", operation_name="disc") == ["r4"]
+    # both ends of the range belong to it
+    assert find(start_unix_nano=34, end_unix_nano=50) == ["r5", "r4", "r3"] and find(start_unix_nano=35, end_unix_nano=49) == ["r4"] and find(start_unix_nano=45, end_unix_nano=49) == []
+    assert find(field_filters=(FieldFilter("span_attr:n", "2"),), operation_name="cube") == ["r7"]
+    assert find(field_filters=(FieldFilter("span_attr:n", "2"), FieldFilter("span_attr:n", "1"))) == []
+    # no service, and names that the search index doesn't hold
+    assert find(service_name="-") == find(service_name="") == find(field_filters=(FieldFilter("name", "cube"),)) == find(field_filters=(FieldFilter("duration", "4"),)) == []
 
 
 def test_predicates_hold_on_different_spans(spark):
-    df = spans_df(spark, [span("t", "a", "GET", fields=[svc("checkout")]), span("t", "b", "POST", fields=[svc("payments"), ("http.status_code", "200")])])
-    req = TraceSearch(service_name="checkout", operation_name="POST", field_filters=(FieldFilter("http.status_code", "200"),))
+    df = spans_df(spark, [span("t", "a", "load", fields=[svc("dock")]), span("t", "b", "sail", fields=[svc("ship"), ("wind.knots", "17")])])
+    req = TraceSearch(service_name="dock", operation_name="sail", field_filters=(FieldFilter("wind.knots", "17"),))
     assert ids(T.search_traces(df, req)) == ["t"] and T.matching_traces(df, req, same_row=True).count() == 0
-    assert T.search_traces(df, req).first().services == ["checkout", "payments"]
+    assert T.search_traces(df, req).first().services == ["dock", "ship"]
 
 
 def test_lists(spark):
