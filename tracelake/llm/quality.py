@@ -1,8 +1,9 @@
 """Quality scores by compression: zstandard dictionaries of good and of bad text.
 
-A text is cut into blocks, so that dictionaries count throughout, and all blocks are compressed with
-either dictionary. The difference of the two sizes, normalised by their sum, tells which kind the text is
-made of; a logistic curve fitted on training rows that the dictionaries have not seen makes it a score.
+A dictionary is trained on the whole texts of each label. A text is cut into blocks, so that dictionaries count
+throughout, and all blocks are compressed with either one. The difference of the two sizes, normalised by
+their sum, tells which kind the text is made of; a logistic curve over this one number, fitted on training rows
+that the dictionaries have not seen and weighted to the true share of the classes, makes it a score.
 """
 
 from __future__ import annotations
@@ -20,24 +21,26 @@ from tracelake.llm import _bytes as B
 
 #: Bounds of the training sample: rows and bytes a class.
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 24 << 20
-DICTIONARY_BYTES, BLOCK_BYTES, LEVEL, SEGMENT = 1 << 18, 1024, 3, 256
+#: Size of a dictionary, bytes that are compressed at a time, and the trainer's segment and substring sizes.
+DICTIONARY_BYTES, BLOCK_BYTES, LEVEL, SEGMENT, SUBSTRING = 1 << 18, 1024, 3, 256, 8
 
 
 @dataclass
 class QualityModel:
     good: bytes
     bad: bytes
-    weights: np.ndarray  # logistic weights of features(), the last is the constant
+    weights: np.ndarray  # slope and constant of the logistic curve over difference()
     _pair: tuple | None = field(default=None, repr=False)
 
     def __getstate__(self):
         return {"good": self.good, "bad": self.bad, "weights": self.weights, "_pair": None}
 
-    def features(self, text: bytes) -> tuple[float, float]:
+    def difference(self, text: bytes) -> float:
+        """(size with the bad dictionary - size with the good one) / their sum, over all blocks of the text; 0 for the empty text."""
         if self._pair is None:
             made = []
             for d in (self.good, self.bad):
-                z = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                z = zstandard.ZstdCompressionDict(d)
                 z.precompute_compress(level=LEVEL)
                 made.append(zstandard.ZstdCompressor(dict_data=z, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False))
             self._pair = tuple(made)
@@ -47,11 +50,10 @@ class QualityModel:
             block = view[i : i + BLOCK_BYTES]
             good += len(self._pair[0].compress(block))
             bad += len(self._pair[1].compress(block))
-        total = good + bad
-        return ((bad - good) / total if total else 0.0, total / (2 * len(text)) if text else 0.0)
+        return (bad - good) / (good + bad) if text else 0.0
 
     def score(self, text: bytes) -> float:
-        x = float(np.dot(self.weights[:-1], self.features(text)) + self.weights[-1])
+        x = float(self.weights[0] * self.difference(text) + self.weights[1])
         return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
 
@@ -75,53 +77,70 @@ def logistic(x: np.ndarray, y: np.ndarray, sample_weight: np.ndarray | None = No
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, label: str, rows: int, size: int) -> dict[int, list[bytes]]:
-    """Texts of at most `rows` rows and `size` bytes for each value 0 and 1 of the label: training ids with the smallest hash first."""
+    """Texts of at most `rows` training ids and `size` bytes for each value 0 and 1 of the label, in the order of a hash of the id.
+
+    Texts are taken in that order as long as they fit, so neither partitions nor the table's order change the sample and
+    a very long text does not use up the bound. Ids that are null, have both labels or another one are left out, repeated
+    labels count once, and of an id's texts the one of the smallest hash counts; null texts are no examples.
+    """
     spark = docs.sparkSession
-    known = labels.where(train & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y"))
+    known = labels.where(train & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z")
+    keyed = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("t"))
     out: dict[int, list[bytes]] = {}
     for y in (0, 1):
-        ids = known.where(F.col("y") == y).groupBy("doc_id").agg(F.min(F.xxhash64(F.col("doc_id"), F.lit(3))).alias("o")).orderBy("o", "doc_id").limit(rows).collect()
-        order = {r.doc_id: i for i, r in enumerate(ids)}
+        ids = known.where(F.col("y") == y).select("doc_id", F.xxhash64(F.col("doc_id"), F.lit(3)).alias("o")).orderBy("o", "doc_id").limit(rows).collect()
+        place = {r.doc_id: i for i, r in enumerate(ids)}
         out[y] = []
-        if not order:
+        if not place:
+            continue
+        small = F.broadcast(spark.createDataFrame([(i,) for i in place], labels.select("doc_id").schema))
+        found = keyed.select("doc_id", "t", F.octet_length("text").alias("n")).join(small, "doc_id").groupBy("doc_id").agg(F.min(F.struct("t", "n")).alias("m")).select("doc_id", "m.t", "m.n").collect()
+        taken, held = [], 0
+        for r in sorted(found, key=lambda r: place[r.doc_id]):
+            if held + r.n <= size:
+                taken.append((r.doc_id, r.t))
+                held += r.n
+        if not taken:
             continue
-        small = F.broadcast(spark.createDataFrame([(i,) for i in order], labels.select("doc_id").schema))
-        texts, held = {}, 0
-        for r in docs.select("doc_id", "text").where("text is not null").join(small, "doc_id").toLocalIterator():
-            if r.doc_id not in texts and held < size:
-                texts[r.doc_id] = r.text.encode()
-                held += len(texts[r.doc_id])
-        out[y] = [texts[i] for i in sorted(texts, key=order.__getitem__)]
+        wanted = F.broadcast(spark.createDataFrame(taken, keyed.select("doc_id", "t").schema))
+        texts = {r.doc_id: r.text.encode() for r in keyed.join(wanted, ["doc_id", "t"]).select("doc_id", "text").toLocalIterator()}
+        out[y] = [texts[i] for i, _ in taken]
     return out
 
 
-def _dictionary(texts: list[bytes], size: int) -> bytes:
-    """Raw dictionary content: segments of as many texts as fit, evenly from across each text."""
-    if not texts:
-        return b" " * 8
-    each = max(SEGMENT, size // max(1, len(texts)))
-    parts, held = [], 0
-    for t in texts:
-        start = max(0, (len(t) - each) // 2)
-        parts.append(t[start : start + each])
-        held += len(parts[-1])
-        if held >= size:
-            break
-    return b" ".join(parts)[-size:].ljust(8)
+def class_share(labels: DataFrame, train: Column, label: str) -> float:
+    """Share of label 1 among the training rows that have a label."""
+    n = labels.where(train & F.col(label).isin(0, 1)).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(label), F.lit(0)).alias("k")).first()
+    return n.k / n.n if n.n else 0.5
+
+
+def weighted_to_share(y: np.ndarray, share: float) -> np.ndarray:
+    """Weights under which the examples have the given share of label 1."""
+    return np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
+
+
+def train_dictionary(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
+    """A zstandard dictionary trained on all blocks of the texts; of too little text to train on, its last bytes are the dictionary."""
+    parts = [t[i : i + BLOCK_BYTES] for t in texts for i in range(0, len(t), BLOCK_BYTES)]
+    total = sum(map(len, parts))
+    try:
+        return zstandard.train_dictionary(min(size, max(1024, total // 4)), parts, k=SEGMENT, d=SUBSTRING).as_bytes()
+    except zstandard.ZstdError:
+        return b"\n".join(texts)[-size:].rjust(8)
 
 
 def fit_quality_model(docs: DataFrame, labels: DataFrame, train: Column) -> QualityModel:
-    """Dictionaries from one half of the bounded sample, the logistic curve from the other. With one class or none the score is its share."""
+    """Dictionaries from one half of labelled_sample(), the curve from the other. With one class or none the score is its share."""
     got = labelled_sample(docs, labels, train, "quality", SAMPLE_ROWS, SAMPLE_BYTES)
     bad, good = got[0], got[1]
-    model = QualityModel(_dictionary(good[::2], DICTIONARY_BYTES), _dictionary(bad[::2], DICTIONARY_BYTES), np.zeros(3))
+    model = QualityModel(train_dictionary(good[::2]), train_dictionary(bad[::2]), np.zeros(2))
     if not bad or not good:
         model.weights[-1] = 0.0 if not bad and not good else (4.0 if good else -4.0)
         return model
     tune_bad, tune_good = bad[1::2] or bad, good[1::2] or good
-    x = np.array([model.features(t) for t in [*tune_bad, *tune_good]])
+    x = np.array([[model.difference(t)] for t in [*tune_bad, *tune_good]])
     y = np.r_[np.zeros(len(tune_bad)), np.ones(len(tune_good))]
-    model.weights = logistic(x, y)
+    model.weights = logistic(x, y, weighted_to_share(y, class_share(labels, train, "quality")))
     return model
 
 

@@ -1,10 +1,10 @@
 """Toxicity scores from class-conditional Kneser-Ney bigram models.
 
-Two models, of toxic and of ordinary text, with absolute discounts over continuation counts. An
-expression that both classes together have hardly seen takes its probability from the counts that the
-classes share, the same in either, and so says nothing. A text is compared by the length-normalised
-difference of its two log-likelihoods, over the whole text and over each passage of a few words (a long
-text may be toxic in one sentence); a logistic curve fitted on training rows that the models have not
+Two interpolated Kneser-Ney models, of toxic and of ordinary text, with absolute discounts. Their bigrams back off to
+the class's continuation counts, and these to continuation counts that the classes share, the same in either; so an
+expression that a class has hardly seen keeps little mass of its own and says little. A text is compared by the
+length-normalised difference of its two log-likelihoods, over the whole text and over each passage of a few words
+(a long text may be toxic in one sentence); a logistic curve fitted on training rows that the models have not
 seen makes the mean and the largest passages a score.
 """
 
@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from tracelake.llm import _bytes as B
-from tracelake.llm.quality import labelled_sample, logistic
+from tracelake.llm.quality import class_share, labelled_sample, logistic, weighted_to_share
 
 #: Bounds of the training sample: rows and bytes a class.
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 16 << 20
-DISCOUNT = 0.5
-#: Expressions with fewer shared counts take the shared probability in both classes: one count for so many toxic
-#: training texts, within these bounds, as what stands there by chance grows with the sample.
-RARE_SHARE, RARE_BOUNDS = 50, (5, 60)
+#: Absolute discounts of words and of bigrams, and backoff mass beside them: of a class, as a share of its counts; of a context, in counts.
+DISCOUNTS, COMMON, CONTEXT = (3.0, 10.0), 0.2, 100.0
+#: Contexts of a word that the shared counts take, at most.
+SHARED = 2
 #: Words of a passage, from a single expression to a sentence.
 PASSAGES = (1, 3, 8)
 _START = np.uint64(0xABCDEF0123456789)
@@ -55,8 +55,8 @@ class ToxicityModel:
     """Sorted tables of words and bigrams; column 0 is ordinary, column 1 toxic."""
 
     words: np.ndarray
-    low: np.ndarray  # words x 2: probability of the word by continuation counts, backed off to the shared model
-    unknown: np.ndarray  # 2: the same for a word of neither class
+    low: np.ndarray  # words x 2: probability of the word by continuation counts, backed off to the shared ones
+    unknown: np.ndarray  # 2: the same for all words of neither class together
     keep: np.ndarray  # words x 2: mass that a context leaves to the lower order
     pairs: np.ndarray
     high: np.ndarray  # pairs x 2: discounted share of the bigram in its context
@@ -114,48 +114,54 @@ def _flat(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate([h for h, _ in got]) if got else np.zeros(0, np.uint64)), first
 
 
-def train(ordinary: list[bytes], toxic: list[bytes], discount: float = DISCOUNT) -> ToxicityModel:
-    """Kneser-Ney tables of two lists of texts."""
+def train(ordinary: list[bytes], toxic: list[bytes]) -> ToxicityModel:
+    """Interpolated Kneser-Ney tables of two lists of texts; each context's probabilities sum to 1 in either class.
+
+    All counts are continuation counts: a word by the distinct words before it, a bigram by the distinct words before
+    it, so a passage that stands in many copies counts once.
+    """
     streams = [_flat(ordinary), _flat(toxic)]
     prevs = [_previous(h, f) for h, f in streams]
     words = np.unique(np.concatenate([x for (h, _), p in zip(streams, prevs) for x in (h, p)]))
-    ctx = np.concatenate([np.searchsorted(words, p) for p in prevs])
-    wrd = np.concatenate([np.searchsorted(words, h) for h, _ in streams])
-    cls = np.repeat([0, 1], [len(h) for h, _ in streams])
     n = len(words)
-    code, at = np.unique(ctx.astype(np.int64) * n + wrd, return_inverse=True)
-    count = np.zeros((len(code), 2))
-    np.add.at(count, (at, cls), 1)
     if not n:
         return ToxicityModel(words, np.zeros((0, 2)), np.ones(2), np.zeros((0, 2)), words, np.zeros((0, 2)), np.zeros(3 + len(PASSAGES)))
+    once = []
+    for (h, f), p in zip(streams, prevs):
+        _, at = np.unique(_pair(_previous(p, f), _pair(p, h)), return_index=True)
+        once.append((np.searchsorted(words, p) * n + np.searchsorted(words, h))[at])
+    code, at = np.unique(np.concatenate(once), return_inverse=True)
+    count = np.zeros((len(code), 2))
+    np.add.at(count, (at, np.repeat([0, 1], [len(x) for x in once])), 1)
     u, w = code // n, code % n
-    # continuation counts: in how many contexts of the class a word stands; the shared model pools both
-    cont = np.zeros((n, 2))
-    np.add.at(cont, w, count > 0)
-    pooled = np.zeros(n)
-    np.add.at(pooled, w, 1.0)
-    shared = (pooled + 0.5) / (pooled.sum() + 0.5 * (n + 1))
-    floor = 0.5 / (pooled.sum() + 0.5 * (n + 1))
-    rare = min(max(len(toxic) // RARE_SHARE, RARE_BOUNDS[0]), RARE_BOUNDS[1])
-    often = pooled >= rare
-    total = np.maximum(cont.sum(0), 1.0)
-    freed = np.minimum(cont, discount)[often].sum(0) / total / max(1, int(often.sum()))
-    low = np.where(often[:, None], np.maximum(cont - discount, 0) / total + np.maximum(freed, floor), shared[:, None])
-    seen = np.zeros((n, 2))
-    np.add.at(seen, u, count)
-    told = (seen.sum(1)[u] >= rare) & (count.sum(1) >= rare) & (seen[u] > 0).all(axis=1)
-    high = np.where(told[:, None], np.maximum(count - discount, 0) / np.maximum(seen[u], 1), 0.0)
-    cut = np.zeros((n, 2))
-    np.add.at(cut, u, high)
-    keep = 1.0 - cut
-    use = (high > 0).any(axis=1)
-    pairs = _pair(words[u[use]], words[w[use]])
+    # the shared model: in how many contexts of either class a word stands, up to SHARED, as what one class says often must not
+    # become the other's backoff; unknown words weigh as much as all that stand in one context
+    pooled = np.minimum(np.bincount(w, minlength=n), SHARED).astype(np.float64)
+    rare = max(1.0, float((pooled == 1).sum()))
+    shared, none = pooled / (pooled.sum() + rare), rare / (pooled.sum() + rare)
+    low, unknown, high, keep = np.zeros((n, 2)), np.zeros(2), np.zeros((len(code), 2)), np.ones((n, 2))
+    for c in (0, 1):
+        some = count[:, c] > 0
+        if not some.any():
+            low[:, c], unknown[c] = shared, none
+            continue
+        # the class's continuation counts, backed off to the shared ones
+        cont = np.bincount(w[some], minlength=n).astype(np.float64)
+        left = np.maximum(cont - DISCOUNTS[0], 0)
+        size = cont.sum() * (1 + COMMON)
+        back = 1 - left.sum() / size
+        low[:, c], unknown[c] = left / size + back * shared, back * none
+        # its bigrams, backed off to these
+        seen = np.bincount(u, weights=count[:, c], minlength=n) + CONTEXT
+        high[:, c] = np.maximum(count[:, c] - DISCOUNTS[1], 0) / seen[u]
+        keep[:, c] = 1 - np.bincount(u, weights=high[:, c], minlength=n)
+    pairs = _pair(words[u], words[w])
     o = np.argsort(pairs)
-    return ToxicityModel(words, low, np.full(2, floor), keep, pairs[o], high[use][o], np.ones(3 + len(PASSAGES)))
+    return ToxicityModel(words, low, unknown, keep, pairs[o], high[o], np.ones(3 + len(PASSAGES)))
 
 
 def fit_toxicity_model(docs: DataFrame, labels: DataFrame, train_rows: Column) -> ToxicityModel:
-    """Models from two thirds of the bounded sample, the curve from the rest. With one class or none the score is its share."""
+    """Models from two thirds of labelled_sample(), the curve from the rest. With one class or none the score is its share."""
     got = labelled_sample(docs, labels, train_rows, "toxic", SAMPLE_ROWS, SAMPLE_BYTES)
     part = {y: ([t for i, t in enumerate(x) if i % 3], x[::3] or x) for y, x in got.items()}
     model = train(part[0][0], part[1][0])
@@ -164,10 +170,7 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, train_rows: Column) -
         return model
     x = np.concatenate([model.features(*_flat(part[y][1])) for y in (0, 1)])
     y = np.r_[np.zeros(len(part[0][1])), np.ones(len(part[1][1]))]
-    known = labels.where(train_rows)
-    share = known.where("toxic = 1").count() / max(1, known.where("toxic in (0, 1)").count())
-    prior = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-    model.curve = logistic(x, y, prior)
+    model.curve = logistic(x, y, weighted_to_share(y, class_share(labels, train_rows, "toxic")))
     return model
 
 
