@@ -1,6 +1,11 @@
 """Main text of marked, unmarked and broken pages."""
 
-from tracelake.llm.html import blocks, extract_text
+import random
+
+import numpy as np
+
+from tracelake.llm import html as html_
+from tracelake.llm.html import all_blocks, blocks, extract_text, main_blocks, suffix_groups
 
 
 def text(page):
@@ -44,6 +49,79 @@ def test_boilerplate_in_articles(spark):
         assert {r.page_id: r.text for r in extract_text(df, held=held).collect()} == want
 
 
+def test_names_and_frames_keep_articles():
+    assert text('<div class="post no-sidebar"><article><p>kept</p></article></div><div class="sidebar-box">gone</div>') == "kept"
+    assert text('<article><p>one</p><p class="share-price">two</p><p class="share-buttons">x</p><div id="post-comments-3">y</div></article>') == "one\n\ntwo"
+    assert text('<form action="/"><input><main><p>all in a form</p></main></form>') == "all in a form"
+    assert text("<form><p>a page without an article</p></form>") == "a page without an article"
+    assert text('<div class="related"><article>teaser</article></div><article>story</article><section class="comments"><article>me too</article></section>') == "story"
+    assert text('<div class="widget" role="complementary"><div class="widget">in</div></div><p>rest</p>') == "rest"
+
+
+def test_suffix_groups_equal_brute_force():
+    r = random.Random(2)
+    for window in (1, 2, 3, 5, 8):
+        blocks_ = [[r.choice("ab") for _ in range(r.randint(1, 14))] for _ in range(40)]
+        tokens = np.array([ord(x) for b in blocks_ for x in b], np.uint64)
+        block = np.repeat(np.arange(len(blocks_)), [len(b) for b in blocks_])
+        start, group = suffix_groups(tokens, block, window)
+        want = {}
+        at = 0
+        for b in blocks_:
+            for i in range(max(1, len(b) - window + 1)):
+                want[at + i] = tuple(b[i : i + window])
+            at += len(b)
+        assert start.tolist() == sorted(want)
+        names = [want[s] for s in start.tolist()]
+        assert len(set(zip(names, group.tolist()))) == len(set(names)) == len(set(group.tolist()))
+        assert [n for _, n in sorted(zip(group.tolist(), names))] == sorted(names)
+
+
+def test_boilerplate_counts_equal_brute_force(spark, monkeypatch):
+    """Chunks of any size, copies across chunks, broadcast or joined: the windows on half of a host's distinct pages."""
+    r = random.Random(7)
+    lines = [" ".join(r.choice("abcdefgh") + str(r.randrange(9)) for _ in range(r.randint(2, 12))) for _ in range(12)]
+    rows = []
+    for i in range(90):
+        body = [r.choice(lines[: r.choice([2, 12])]) for _ in range(r.randint(0, 4))] + [f"own {i} {i}x {i}y {i}z" if i % 4 else "one more copy"]
+        r.shuffle(body)
+        rows.append((i, f"http://h{i % 3}.example/{i}", "".join(f"<p>{x}</p>" for x in body) + f"<nav>{lines[len(body)]}</nav>"))
+    hosts = {}
+    for _, url, page in rows:
+        found = all_blocks(page)
+        main = tuple(main_blocks(found)[0])
+        hosts.setdefault(url[7:9], {})[main] = {w for t, _ in found for w in windows(t)}
+    boiler = {h: {w for s in pages.values() for w in s if sum(w in x for x in pages.values()) >= max(2, -(-len(pages) // 2))} for h, pages in hosts.items()}
+    want = {}
+    for i, url, page in rows:
+        main, kept = main_blocks(all_blocks(page))[0], []
+        for t in main:
+            x = t.split(" ")
+            gone = set()
+            for k in range(max(1, len(x) - 7)):
+                if tuple(x[k : k + 8]) in boiler[url[7:9]]:
+                    gone.update(range(k, min(k + 8, len(x))))
+            if rest := " ".join(y for k, y in enumerate(x) if k not in gone):
+                kept.append(rest)
+        want[i] = "\n\n".join(kept or main)
+    assert any(boiler.values()) and any(want[i] != "\n\n".join(main_blocks(all_blocks(p))[0]) for i, _, p in rows)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    for chunk, held in ((1 << 21, 1 << 20), (50, 1 << 20), (50, 0)):
+        monkeypatch.setattr(html_, "CHUNK", chunk)
+        assert {x.page_id: x.text for x in extract_text(df, held=held).collect()} == want
+
+
+def windows(text_):
+    x = text_.split(" ")
+    return {tuple(x[k : k + 8]) for k in range(max(1, len(x) - 7))}
+
+
+def test_long_page(spark):
+    page = "<article>" + "".join(f"<p>word{i} and more &amp; more</p>" for i in range(40000)) + "</article>"
+    r = extract_text(spark.createDataFrame([(1, "http://a/", page)], "page_id long, url string, html string")).first()
+    assert r.n_chars == len(r.text) == sum(len(f"word{i} and more & more") for i in range(40000)) + 2 * 39999
+
+
 def test_share_of_distinct_pages(spark):
     copy = "<p>one article that stands under three ids of the very same host</p>"
     phrase = "and that is what they said at the time"

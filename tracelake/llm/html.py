@@ -2,7 +2,8 @@
 
 Pages become streams of blocks: all visible text, menus and footers too. The token streams of a host's pages are
 ordered by suffix to the depth of a window; windows that stand on a large share of the host's distinct pages
-are boilerplate, and what they cover is taken out. Of the rest, structure keeps the main text: menus, headers,
+are boilerplate, and what they cover is taken out. Windows in marked articles count among themselves, as a menu
+line is no evidence against a sentence. Of the rest, structure keeps the main text: menus, headers,
 footers, sidebars, notices, adverts, forms and comments go by their elements, roles, classes and ids. If a page
 marks its article (article, main), the blocks in there are its text and only blocks that are covered from end to
 end go; on other pages the runs that nothing covers are kept. A page that would lose all its text keeps it.
@@ -30,6 +31,8 @@ from tracelake.llm._spark import drop_shared, write_shared
 
 #: Tokens of a window (shorter blocks are one window); pages and share of a host's distinct pages that make it boilerplate.
 WINDOW, PAGES, SHARE = 8, 2, 0.5
+#: Pages at least within marked articles, where a line may stand on two pages by chance.
+ARTICLE_PAGES = 4
 #: Tokens of a chunk of the suffix array; candidate or boilerplate windows that are broadcast (8 bytes each), more are joined.
 CHUNK, HELD = 1 << 21, 1 << 20
 #: Bits of the map of main texts that stand in more than one row.
@@ -186,7 +189,7 @@ def all_blocks(page: str, strict: bool = True) -> list[tuple[str, int]]:
         goes = _dropped(tag, attrs, article > 0)
         if goes == 2 and not strict:
             goes = 0
-        if goes == 2 and not article and holds and holds[-1] > at and tag not in _VOID:
+        if goes == 2 and not article and holds and holds[0] > at and tag not in _VOID:
             goes = 0 if holds[-1] < _end_of(page, tag, at) else 1  # a frame around the article is no mark
         if goes:
             if tag in _RAW:
@@ -272,14 +275,16 @@ def suffix_groups(tokens: np.ndarray, block: np.ndarray, window: int) -> tuple[n
     return start, rank[start]
 
 
-def _tokens(host: pa.Array, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash tied to the host, block, page) of each token of lists of block texts; blocks are numbered through."""
+def _tokens(host: pa.Array, lists: pa.Array, kinds: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash tied to the host, block, page, whether in an article) of each token of lists of block texts; blocks are numbered through."""
     data, offs = B.column_bytes(lists.flatten())
     page_of = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths().fill_null(0)))
     s, e, first = B.words(data, offs, ~B.byte_table((0x20, 0x20)))
     block = B.owner(first)
     page = page_of[block]
-    return B.mix(B.word_hashes(data, s, e) ^ B.mix(np.asarray(host).view(np.uint64)[page])), block, page
+    article = (B.column_bytes(kinds)[0] == ARTICLE)[block]
+    salt = B.mix(np.asarray(host).view(np.uint64)[page] + article.astype(np.uint64))
+    return B.mix(B.word_hashes(data, s, e) ^ salt), block, page, article
 
 
 @dataclass
@@ -293,13 +298,14 @@ class _Chunk:
     tokens: np.ndarray
     block: np.ndarray
     page: np.ndarray
+    article: np.ndarray
 
     def names(self, window: int, start: np.ndarray) -> np.ndarray:
-        return _window_hash(self.tokens, self.block, start, window)
+        return _window_names(self.tokens, self.block, self.article, start, window)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
-    """Chunks of (host, texts, content, need, total)."""
+    """Chunks of (host, texts, kinds, content, need, total)."""
     held: list[tuple] = []
     size = 0
 
@@ -314,12 +320,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
         number = np.cumsum(once) - 1
         tokens, block = np.concatenate([x[4] for x in held])[keep], np.concatenate([x[5] + k for x, k in zip(held, step)])[keep]
         host, content, need, total = (x[once] for x in pages)
-        return _Chunk(need, total, host, content, tokens, block, number[page[keep]])
+        return _Chunk(need, total, host, content, tokens, block, number[page[keep]], np.concatenate([x[7] for x in held])[keep])
 
     for batch in batches:
-        tokens, block, page = _tokens(batch.column(0), batch.column(1))
+        tokens, block, page, article = _tokens(batch.column(0), batch.column(1), batch.column(2))
         if len(tokens):
-            held.append((*(np.asarray(batch.column(i)).astype(np.int64) for i in (0, 2, 3, 4)), tokens, block, page))
+            held.append((*(np.asarray(batch.column(i)).astype(np.int64) for i in (0, 3, 4, 5)), tokens, block, page, article))
             size += len(tokens)
         if size >= CHUNK:
             yield joined()
@@ -338,9 +344,10 @@ def _starts(block: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(full | first)
 
 
-def _window_hash(tokens: np.ndarray, block: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
-    """A 64-bit name of the window at each start."""
-    return B.span_hash(B.prefix_sums(tokens), start, _ends(block, start, window)).view(np.int64)
+def _window_names(tokens: np.ndarray, block: np.ndarray, article: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
+    """A 64-bit name of the window at each start; odd in articles, even elsewhere."""
+    h = B.span_hash(B.prefix_sums(tokens), start, _ends(block, start, window)).view(np.int64)
+    return h & np.int64(-2) | article[start]
 
 
 def _ends(block: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
@@ -368,7 +375,7 @@ def _boilerplate(parsed: DataFrame, window: int, min_pages: int, share: float, h
     for r in words:
         copied[r.i] = r.b
     copies = sc.broadcast(copied)
-    source = parsed.where("content is not null").join(hosts, "host").select("host", "texts", "content", "need", "total")
+    source = parsed.where("content is not null").join(hosts, "host").select("host", "texts", "kinds", "content", "need", "total")
 
     def shared_text(c: _Chunk) -> np.ndarray:
         at = c.content & (_BITS - 1)
@@ -383,7 +390,7 @@ def _boilerplate(parsed: DataFrame, window: int, min_pages: int, share: float, h
             host_no = np.unique(c.host, return_inverse=True)[1]
             own = np.bincount(host_no, weights=~shared_text(c), minlength=host_no.max() + 1)[host_no]
             p = c.page[at]
-            keep = pages * c.total[p] >= own[p] * c.need[p]
+            keep = pages * c.total[p] >= own[p] * np.where(c.article[at], np.maximum(c.need[p], ARTICLE_PAGES), c.need[p])
             yield pa.RecordBatch.from_arrays([pa.array(c.names(window, at[keep]))], names=["w"])
 
     found = write_shared(source.mapInArrow(candidates, "w long").distinct(), "boilerplate-candidates")
@@ -414,7 +421,8 @@ def _boilerplate(parsed: DataFrame, window: int, min_pages: int, share: float, h
     # a copied main text counts once, whatever the chunks it stands in
     by_text = counted.groupBy("host", "w", "c").agg(F.sum("n").alias("n"))
     total = by_text.groupBy("host", "w").agg(F.sum(F.when(F.col("c").isNull(), F.col("n")).otherwise(1)).alias("pages"))
-    out = write_shared(total.join(hosts, "host").where("pages >= need").select("w"), "boilerplate")
+    enough = F.when(F.col("w").bitwiseAND(1) == 1, F.greatest("need", F.lit(ARTICLE_PAGES))).otherwise(F.col("need"))
+    out = write_shared(total.join(hosts, "host").where(F.col("pages") >= enough).select("w"), "boilerplate")
     copies.destroy()
     known.destroy()
     for x in (contents, hosts, found):
@@ -451,12 +459,12 @@ def extract_text(pages: DataFrame, window: int = WINDOW, min_pages: int = PAGES,
             i = batch.schema.get_field_index
             lists = batch.column(i("texts"))
             if known.value is not None:
-                tokens, block, _ = _tokens(batch.column(i("host")), lists)
+                tokens, block, _, article = _tokens(batch.column(i("host")), lists, batch.column(i("kinds")))
                 start = _starts(block, window)
-                start = start[_among(_window_hash(tokens, block, start, window), known.value)]
+                start = start[_among(_window_names(tokens, block, article, start, window), known.value)]
                 end = _ends(block, start, window)
             else:
-                _, block, page = _tokens(batch.column(i("host")), lists)
+                _, block, page, _ = _tokens(batch.column(i("host")), lists, batch.column(i("kinds")))
                 spans = batch.column(i("spans"))
                 row = np.repeat(np.arange(len(spans)), np.asarray(spans.value_lengths().fill_null(0)))
                 flat = spans.flatten()
@@ -479,13 +487,13 @@ def extract_text(pages: DataFrame, window: int = WINDOW, min_pages: int = PAGES,
 
     def covering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, block, page = _tokens(batch.column(0), batch.column(1))
+            tokens, block, page, article = _tokens(batch.column(0), batch.column(1), batch.column(2))
             start = _starts(block, window)
             at = page[start]
-            yield pa.record_batch([batch.column(2).take(pa.array(at)), pa.array(_window_hash(tokens, block, start, window)), pa.array((start - np.searchsorted(page, at)).astype(np.int32)), pa.array((_ends(block, start, window) - start).astype(np.int32))], names=["rid", "w", "first", "n"])
+            yield pa.record_batch([batch.column(3).take(pa.array(at)), pa.array(_window_names(tokens, block, article, start, window)), pa.array((start - np.searchsorted(page, at)).astype(np.int32)), pa.array((_ends(block, start, window) - start).astype(np.int32))], names=["rid", "w", "first", "n"])
 
     rows = write_shared(rows, "page-rows")
-    windows = rows.select("host", "texts", "rid").mapInArrow(covering, "rid long, w long, first int, n int")
+    windows = rows.select("host", "texts", "kinds", "rid").mapInArrow(covering, "rid long, w long, first int, n int")
     spans = windows.join(boiler, "w", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
     return rows.join(write_shared(spans, "page-spans"), "rid", "left").mapInArrow(finish, out)
 
