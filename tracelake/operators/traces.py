@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.fields import first_value, has_field, promote, services_of
@@ -86,19 +86,43 @@ def matching_traces(spans: DataFrame, req: TraceSearch, same_row: bool = False,
     if same_row and req.service_name is not None and req.operation_name is not None:
         flags.append(flags[0] & flags[1])
     flags += extra or []
+    return _matching(spans, flags, req, aggregates or [])
+
+
+def _matching(rows: DataFrame, flags: list[Column], req: TraceSearch, aggregates: list[Column]) -> DataFrame:
+    """Traces whose window overlaps the range and for which every flag holds on some row."""
     marks = [F.bool_or(f).alias(f"m{i}") for i, f in enumerate(flags)]
-    found = spans.groupBy("trace_id").agg(F.min("start_unix_nano").alias("start_unix_nano"), F.max("end_unix_nano").alias("end_unix_nano"), *(aggregates or []), *marks)
+    found = rows.groupBy("trace_id").agg(F.min("start_unix_nano").alias("start_unix_nano"), F.max("end_unix_nano").alias("end_unix_nano"), *aggregates, *marks)
     return found.where(_all([F.col(f"m{i}") for i in range(len(flags))]) & overlaps(req)).drop(*[f"m{i}" for i in range(len(flags))])
 
 
+_NEWEST = (F.desc, "end_unix_nano"), (F.asc, "trace_id")
+#: Hits up to this limit are broadcast to the rows that name their services.
+BROADCAST_HITS = 100_000
+
+
+def _newest(df: DataFrame, limit: int | None) -> DataFrame:
+    return limited(df, limit, *[f(c) for f, c in _NEWEST])
+
+
+def _with_services(hits: DataFrame, rows: DataFrame, limit: int | None) -> DataFrame:
+    """hits with the sorted distinct services of their rows."""
+    own = rows.select("trace_id", _services(rows).alias("services"))
+    hits = F.broadcast(hits) if limit is not None and limit <= BROADCAST_HITS else hits
+    found = own.join(hits, "trace_id").groupBy("trace_id", "start_unix_nano", "end_unix_nano").agg(services_per_trace(own))
+    return _newest(found, limit)
+
+
 def search_traces(spans: DataFrame, req: TraceSearch) -> DataFrame:
     """(trace_id, start_unix_nano, end_unix_nano, services): newest end first, then trace id.
 
-    Windows cover whole traces, the range is inclusive on both ends.
+    Windows cover whole traces, the range is inclusive on both ends. The first aggregate holds only numbers and
+    flags, so it stays a hash aggregate; with a limit, services are gathered for its hits alone.
     """
-    order = (F.desc("end_unix_nano"), F.asc("trace_id"))
     spans = promoted(spans)
-    return limited(matching_traces(spans, req, aggregates=[services_per_trace(spans)]), req.limit, *order)
+    if req.limit is None:
+        return matching_traces(spans, req, aggregates=[services_per_trace(spans)])
+    return _with_services(_newest(matching_traces(spans, req), req.limit), spans, req.limit)
 
 
 def list_trace_ids(spans: DataFrame) -> DataFrame:
@@ -160,13 +184,58 @@ def trace_index(spans: DataFrame) -> DataFrame:
     )
 
 
-def search_index(index: DataFrame, req: TraceSearch) -> DataFrame:
-    """search_traces() over a trace index."""
+def search_index(index: DataFrame, req: TraceSearch, whole: bool = True) -> DataFrame:
+    """search_traces() over a trace index.
+
+    whole: one row a trace, so a filter does, and its range reaches the scan. Else a trace may have several rows,
+    which count together.
+    """
     flags = []
     if req.service_name is not None:
         flags.append(F.lit(False) if req.service_name in ("", "-") else F.array_contains("services", req.service_name))
     if req.operation_name is not None:
         flags.append(F.array_contains("operations", req.operation_name))
     flags += [indexed_field(f.name, f.value) for f in req.field_filters]
-    hits = index.where(_all(flags) & overlaps(req)).select("trace_id", "start_unix_nano", "end_unix_nano", "services")
-    return limited(hits, req.limit, F.desc("end_unix_nano"), F.asc("trace_id"))
+    if whole:
+        return _newest(index.where(_all(flags) & overlaps(req)).select("trace_id", "start_unix_nano", "end_unix_nano", "services"), req.limit)
+    hits = _newest(_matching(index, flags, req, []), req.limit)
+    return _with_services(hits, index, req.limit)
+
+
+def exact_quantiles(spans: DataFrame, quantiles: tuple[float, ...], slices: int = 64) -> DataFrame:
+    """(name, p50, ...): exact nearest-rank quantiles of the durations of each operation, the value at the rounded index.
+
+    Equal durations are counted first. An operation's counts are cut into slices by duration, so that its running
+    sums are the sums of whole slices (few rows) plus those within one slice, and no task holds a whole operation.
+    """
+    d = F.col("end_unix_nano") - F.col("start_unix_nano")
+    counts = spans.groupBy("name", d.alias("d")).agg(F.count(F.lit(1)).alias("k"))
+    ends = spans.groupBy("name").agg(F.min(d).alias("lo"), F.max(d).alias("hi"), F.count(F.lit(1)).alias("n"))
+    part = F.least(F.floor((F.col("d") - F.col("lo")).cast("double") / F.greatest(F.col("hi") - F.col("lo"), F.lit(1)) * slices), F.lit(slices - 1)).cast("int")
+    cut = counts.join(ends.select("name", "lo", "hi"), "name").select("name", "d", "k", part.alias("part"))
+    before = Window.partitionBy("name").orderBy("part")
+    whole = cut.groupBy("name", "part").agg(F.sum("k").alias("s")).select("name", "part", (F.sum("s").over(before) - F.col("s")).alias("base"))
+    running = cut.join(whole, ["name", "part"]).withColumn("upto", F.col("base") + F.sum("k").over(Window.partitionBy("name", "part").orderBy("d")))
+    at = lambda q: F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) * q + 0.5), F.col("d"))).alias(f"p{q * 100:g}")
+    return running.join(ends.select("name", "n"), "name").groupBy("name").agg(*[at(q) for q in quantiles])
+
+
+def missing(wanted: DataFrame, held: DataFrame) -> DataFrame:
+    """(trace_id) of the traces in wanted that held has no row of."""
+    return list_trace_ids(wanted).join(list_trace_ids(held), "trace_id", "left_anti")
+
+
+def differing(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+    """(trace_id) of the traces whose rows are not the same, as bags of rows over the columns, in both. Empty: the replicas are equal."""
+    parts = [F.count(F.lit(1)).alias("n"), *(F.sum(F.shiftright(F.xxhash64(F.lit(i), *columns), 20)).alias(f"s{i}") for i in range(3))]  # order-free
+    x = a.groupBy("trace_id").agg(*parts)
+    y = b.groupBy("trace_id").agg(*parts).toDF("other_id", "m", "t0", "t1", "t2")
+    same = F.col("trace_id").eqNullSafe(F.col("other_id")) & (F.col("n") == F.col("m")) & (F.col("s0") == F.col("t0")) & (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2"))
+    return x.join(y, same, "full").where("n is null or m is null").select(F.coalesce("trace_id", "other_id").alias("trace_id")).distinct()
+
+
+def sorted_list(found: DataFrame, limit: int | None = None) -> DataFrame:
+    """A list of one column in byte order, nulls left out, at most limit values."""
+    c = found.columns[0]
+    out = found.where(F.col(c).isNotNull()).orderBy(c)
+    return out if limit is None else out.limit(limit)
