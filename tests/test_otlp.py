@@ -1,6 +1,9 @@
 import json
 
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from helpers import log, logs_df, span, spans_df, svc
@@ -84,6 +87,51 @@ def test_protobuf_traces_round_trip(spark):
     assert r.text == 'resource_attr:service.name=s,span_attr:list=["x",-3],span_attr:map={"a":true,"b":"01ff"},status_code=2,status_message=-'
 
 
+texts = st.text(st.characters(codec="utf-8", exclude_characters="\0"), max_size=6)
+values = st.one_of(
+    st.tuples(st.just("string"), texts), st.tuples(st.just("bool"), st.sampled_from(["true", "false"])), st.tuples(st.just("i64"), st.integers(-(1 << 63), (1 << 63) - 1).map(str)),
+    st.tuples(st.just("f64"), st.floats(allow_nan=False).map(repr)),
+)
+attributes = st.lists(st.tuples(texts, values).map(lambda x: kv(x[0], *x[1])), max_size=4)
+hexes = lambda n: st.binary(min_size=n, max_size=n).map(bytes.hex)
+nanos = st.integers(1, (1 << 63) - 1)
+status = st.one_of(st.none(), st.fixed_dictionaries({"code": st.integers(-(1 << 31), (1 << 31) - 1), "message": texts}))
+spans_ = st.fixed_dictionaries({"trace_id": hexes(16), "span_id": hexes(8), "parent_span_id": st.one_of(st.none(), hexes(8)), "name": texts, "start_time_unix_nano": nanos, "end_time_unix_nano": nanos, "attributes": attributes, "status": status})
+some = st.one_of(st.none(), texts.filter(bool))
+records = st.fixed_dictionaries({
+    "time_unix_nano": nanos, "observed_time_unix_nano": st.one_of(st.none(), nanos), "severity_number": st.one_of(st.none(), st.integers(1, 24)), "severity_text": some, "body": values.map(lambda v: kv("", *v)["value"]),
+    "trace_id": st.one_of(st.none(), hexes(16)), "span_id": st.one_of(st.none(), hexes(8)), "attributes": attributes,
+})
+
+
+def requests(group, items, one_):
+    scopes = st.fixed_dictionaries({"scope_name": some, "scope_version": some, "scope_attributes": attributes, items: st.lists(one_, max_size=3)})
+    return st.lists(st.lists(st.fixed_dictionaries({"resource_attributes": attributes, group: st.lists(scopes, max_size=2)}), max_size=2), max_size=4)
+
+
+@settings(max_examples=150, deadline=None)
+@given(requests("scope_spans", "spans", spans_), requests("scope_logs", "log_records", records))
+def test_columns_of_requests_round_trip(traces, logs):
+    p = otlp_proto
+    assert p.decode_traces(pa.array([p.encode_traces(x) for x in traces], pa.binary())).to_pylist() == traces
+    assert p.decode_logs(pa.array([None, *[p.encode_logs(x) for x in logs]], pa.binary())).to_pylist() == [None, *logs]
+
+
+def test_odd_wire_data():
+    p = otlp_proto
+    unknown = p._put(99, b"x") + p._put_int(98, 1 << 63) + p._put_fixed(97, 7) + p._put_varint(96 << 3 | 5) + b"abcd"
+    scope = p._put(1, p._put_text(1, "first") + p._put_kvs(3, [kv("a", "string", "1")])) + unknown + p._put(1, p._put_text(2, "v") + p._put_kvs(3, [kv("b", "i64", "2")]) + p._put_text(1, "second"))
+    span_ = unknown + p._put_text(5, "old") + p._put(1, b"\1") + p._put_text(5, "new") + p._put(15, p._put_int(3, 1)) + p._put(15, p._put_text(2, "last"))
+    body = unknown + p._put(1, p._put(1, p._put_kvs(1, [kv("r", "bool", "true")])) + p._put(2, p._put(2, span_) + scope) + p._put(1, unknown + p._put_kvs(1, [kv("s", "f64", "0.5")])))
+    (r,), none, _ = p.decode_traces(pa.array([body, None, b""], pa.binary())).to_pylist()
+    s = r["scope_spans"][0]
+    assert none is None and [(a["key"], a["value"]["kind"], a["value"]["value"]) for a in r["resource_attributes"]] == [("r", "bool", "true"), ("s", "f64", "0.5")]
+    assert (s["scope_name"], s["scope_version"], [a["key"] for a in s["scope_attributes"]]) == ("second", "v", ["a", "b"])
+    assert s["spans"][0] | {"name": "new", "trace_id": "01", "status": {"code": 0, "message": "last"}} == s["spans"][0]
+    with pytest.raises(p.WireError):
+        p.decode_traces(pa.array([p._put(1, p._put(2, p._put(2, p._put(5, b"\xff\xfe"))))], pa.binary()))
+
+
 def test_protobuf_logs_round_trip(spark):
     df = spark.createDataFrame([(json.dumps(LOG_REQUEST).replace('"tr"', '"' + "ab" * 16 + '"'),)], "body string")
     requests = otlp_json.parse_log_requests(df)
@@ -101,7 +149,7 @@ def test_other_ids_become_stable_bytes():
 def test_truncated_messages_fail():
     for bad in (b"\x0a\x05ab", b"\x09\x00", b"\xff" * 11, b"\x0b"):
         with pytest.raises(otlp_proto.WireError):
-            otlp_proto.decode_traces(bad)
+            otlp_proto.decode_traces(pa.array([b"", bad], pa.binary()))
 
 
 def test_grpc_frame(spark):

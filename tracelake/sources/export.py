@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.fields import sort_fields
-from tracelake.schema import LOG_KIND, LOG_PSEUDO, RESOURCE, SCOPE, SCOPE_NAME, SCOPE_VERSION, SPAN, SPAN_COLUMNS, STATUS_CODE, STATUS_MESSAGE
+from tracelake.schema import LOG_COLUMNS, LOG_KIND, LOG_PSEUDO, RESOURCE, SCOPE, SCOPE_NAME, SCOPE_VERSION, SPAN, SPAN_COLUMNS, STATUS_CODE, STATUS_MESSAGE
 
 
 def _by_prefix(prefix: str) -> Column:
@@ -56,6 +56,16 @@ def trace_json(spans: DataFrame) -> DataFrame:
     return spans.select("trace_id", F.to_json(F.struct(*[c for c in SPAN_COLUMNS if c != "fields"], field_map().alias("fields")), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def hit_json(hits: DataFrame) -> DataFrame:
+    """(trace_id, json): the native response object of each search hit."""
+    return hits.select("trace_id", F.to_json(F.struct("trace_id", "start_unix_nano", "end_unix_nano", "services"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def log_json(logs: DataFrame) -> DataFrame:
+    """(log_id, json): the native response object of each log record."""
+    return logs.select("log_id", F.to_json(F.struct(*[c for c in LOG_COLUMNS if c != "fields"], field_map().alias("fields")), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def log_to_span(logs: DataFrame) -> DataFrame:
     """Logs in the shape of spans: pseudo-fields carry what spans have no column for."""
     def one(name: str, value: Column) -> Column:
