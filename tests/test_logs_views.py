@@ -41,7 +41,7 @@ def test_jaeger(spark):
     assert [r.trace_id for r in e.jaeger_search("checkout", "GET /checkout", start=50, end=200).collect()] == ["t"]
     assert sorted(r[0] for r in e.jaeger_operations("checkout").collect()) == ["GET /checkout", "SELECT cart_items", "pay"]
     body = json.loads(jaeger.response(e.jaeger_services(), "service").first().json)
-    assert sorted(body["data"]) == ["checkout", "payments"] and body["total"] == 2 and body["errors"] is None and jaeger.not_found(e.spans, "q")["errors"][0]["code"] == 404
+    assert sorted(body["data"]) == ["checkout", "payments"] and body["total"] == 2 and body["errors"] is None and jaeger.not_found()["errors"][0]["code"] == 404
 
 
 def test_tempo(spark):

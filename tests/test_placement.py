@@ -1,38 +1,32 @@
+import hashlib
 import math
+from collections import Counter
 
 from tracelake.functions import placement as P
+from tracelake.operators import metrics
 
-NODES, WEIGHTS, GROUPS = ["n1", "n2", "n3", "n4", "n5"], {"n1": 3}, {"n1": "a", "n2": "a", "n3": "b", "n4": "b"}
-MASK = (1 << 64) - 1
+NODES, WEIGHTS, GROUPS = ["oak", "elm", "ash", "fir", "yew"], {"oak": 3}, {"oak": "hill", "elm": "hill", "ash": "vale", "fir": "vale"}
 
 
-def one(trace, replicas):
-    """The same placement, a trace and a node at a time."""
-    def mix(v):
-        v = (v ^ v >> 30) * 0xBF58476D1CE4E5B9 & MASK
-        v = (v ^ v >> 27) * 0x94D049BB133111EB & MASK
-        return v ^ v >> 31
-
-    def score(n):
-        h = P.text_hash(n)
-        x = mix(P.text_hash(trace) ^ ((h << 32 | h >> 32) & MASK) + 0x9E3779B97F4A7C15 & MASK)
-        return -math.log((x + 1.0) / (2.0**64 + 1.0)) / WEIGHTS.get(n, 1)
-
-    order, used, first, rest = sorted(NODES, key=lambda n: (score(n), n)), set(), [], []
-    for n in order:
-        g = GROUPS.get(n)
-        (rest if g in used else first).append(n)
-        used |= {g} - {None}
-    return (first + rest)[:replicas]
+def chosen(trace, replicas, nodes=NODES):
+    time = {n: -math.log((int(hashlib.md5(f"{trace}|{n}".encode()).hexdigest()[:13], 16) + 1) / 2**52) / WEIGHTS.get(n, 1) for n in nodes}
+    order = sorted(nodes, key=lambda n: (time[n], n))
+    late = [any(GROUPS.get(m) == GROUPS.get(n) is not None for m in order[:i]) for i, n in enumerate(order)]
+    return [n for _, _, n in sorted(zip(late, range(len(order)), order))][:replicas]
 
 
 def test_placements(spark):
-    ids = [f"trace-{i}" for i in range(60)]
+    ids = [f"t{i}" for i in range(400)]
     df = spark.createDataFrame([(i,) for i in ids], "trace_id string")
-    for replicas in (1, 3, 5, 9):
+    for replicas in (1, 3, 9):
         got = {r.trace_id: r.nodes for r in P.placements(df, NODES, replicas, WEIGHTS, GROUPS).collect()}
-        assert got == {i: one(i, replicas) for i in ids}
+        assert got == {i: chosen(i, replicas) for i in ids}
+    first = Counter(r.nodes[0] for r in P.placements(df, NODES, 1, WEIGHTS).collect())
+    assert 130 < first["oak"] < 215 and all(30 < first[n] < 90 for n in NODES[1:])  # 3 of 7 shares
+    without = {r.trace_id: r.nodes[0] for r in P.placements(df, NODES[:-1], 1, WEIGHTS).collect()}
+    assert all(without[r.trace_id] == r.nodes[0] for r in P.placements(df, NODES, 1, WEIGHTS).collect() if r.nodes[0] != "yew")
 
 
-def test_metrics_text():
-    assert P.metrics_text({"rows_total": 3, "traces": 2}).splitlines() == ["# TYPE tracelake_rows_total counter", "tracelake_rows_total 3", "# TYPE tracelake_traces gauge", "tracelake_traces 2"]
+def test_metrics_text(spark):
+    stats = spark.createDataFrame([(3, 2)], "rows_total long, traces long")
+    assert metrics.text(stats).splitlines() == ["# TYPE tracelake_rows_total counter", "tracelake_rows_total 3", "# TYPE tracelake_traces gauge", "tracelake_traces 2"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake import fixtures as X
@@ -204,10 +204,7 @@ def log_buckets(spark, d):
 
 def duration_quantiles(spark, d):
     """Nearest-rank quantiles of span durations by rounded index, for each operation."""
-    s = X.event_spans(spark, d).select("name", (F.col("end_unix_nano") - F.col("start_unix_nano")).alias("duration"))
-    ranked = s.select("name", "duration", (F.row_number().over(Window.partitionBy("name").orderBy("duration")) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy("name")).alias("n"))
-    at = lambda q: F.max(F.when(F.col("i") == F.floor((F.col("n") - 1) * q + 0.5), F.col("duration")))
-    return ranked.groupBy("name").agg(at(0.5).alias("p50"), at(0.99).alias("p99"))
+    return T.exact_quantiles(X.event_spans(spark, d), (0.5, 0.99))
 
 
 def promoted_services(spark, d):
@@ -256,6 +253,10 @@ _FLAG = f"{_E} SELECT {_HITS} HAVING bool_or(service = 'checkout') AND bool_or(n
 _FIELDS = "'resource_attr:service.name=' || service || ',span_attr:k=' || k || ',status_code=' || code AS fields"
 _ROOT = "arg_min(service, (parent_span_id IS NOT NULL, s, e, span_id)) AS root_service_name, arg_min(name, (parent_span_id IS NOT NULL, s, e, span_id)) AS root_trace_name, CAST(min(s) AS VARCHAR) AS start_time_unix_nano, CAST(greatest(max(e) - min(s), 0) // 1000000 AS BIGINT) AS duration_ms"
 _FIRST = "SELECT trace_id, service, min((e, span_id)) AS f FROM spans GROUP BY trace_id, service"
+_P = f"{_E}, p AS (SELECT 'resource_attr:service.name' AS name, service AS value, trace_id FROM spans UNION SELECT 'span_attr:k', k, trace_id FROM spans UNION SELECT 'status_code', code, trace_id FROM spans)"
+_SCOPE = "CASE WHEN name LIKE 'resource_attr:%' THEN 'resource' WHEN name LIKE 'span_attr:%' THEN 'span' WHEN name = 'status_code' THEN 'intrinsic' END"
+_TAG = "CASE WHEN name = 'status_code' THEN 'statusCode' ELSE substr(name, position(':' IN name) + 1) END"
+_CODES = "list_transform(generate_series(1, len(body)), lambda i: CAST(ascii(substr(body, i, 1)) AS HUGEINT))"
 
 ORACLE = {
     "trace_search": _FLAG,
@@ -267,16 +268,16 @@ ORACLE = {
     "get_trace": f"{_E} SELECT trace_id, span_id, parent_span_id, name, s AS start_unix_nano, e AS end_unix_nano, e - s AS duration, {_FIELDS} FROM spans WHERE trace_id = 'trace-00000007'",
     "list_services": f"{_E} SELECT DISTINCT service FROM spans WHERE service <> '-'",
     "list_trace_ids": f"{_E} SELECT DISTINCT trace_id FROM spans",
-    "list_field_names": "SELECT unnest(['resource_attr:service.name', 'span_attr:k', 'status_code']) AS name",
+    "list_field_names": f"{_P} SELECT DISTINCT name FROM p",
     "list_field_values": f"{_E} SELECT DISTINCT k AS value FROM spans",
-    "field_postings": f"""{_E}, p AS (SELECT 'resource_attr:service.name' AS name, service AS value, trace_id FROM spans UNION SELECT 'span_attr:k', k, trace_id FROM spans UNION SELECT 'status_code', code, trace_id FROM spans)
-      SELECT name, value, count(*) AS traces FROM p GROUP BY 1, 2""",
+    "field_postings": f"{_P} SELECT name, value, count(*) AS traces FROM p GROUP BY 1, 2",
     "service_operations": f"{_E} SELECT DISTINCT name AS operation FROM spans WHERE service = 'payments'",
     "log_search": f"{_L} SELECT {_LC} FROM plain WHERE time_unix_nano BETWEEN {LO} AND {HI} AND service = 'payments' AND severity_text = 'ERROR' ORDER BY time_unix_nano DESC, log_id LIMIT 20",
     "log_search_field": f"{_L} SELECT {_LC} FROM plain WHERE time_unix_nano BETWEEN {LO} AND {HI} AND event_type = 'signup' ORDER BY time_unix_nano DESC, log_id LIMIT 50",
     "log_search_pseudo_field": f"{_L} SELECT {_LC} FROM plain WHERE trace_id = 'trace-00000003' AND severity_number = 9",
     "log_upsert": f"{_L} SELECT log_id, time_unix_nano, observed_time_unix_nano, severity_number, severity_text, CASE WHEN severity_number > 9 THEN 'again: ' || body ELSE body END AS body, trace_id, fields FROM plain",
     "log_merge_first": f"{_L} SELECT log_id, time_unix_nano, observed_time_unix_nano, severity_number, severity_text, CASE WHEN severity_number > 9 THEN body ELSE 'second' END AS body, trace_id, fields FROM plain",
+    "log_id_fnv": f"{_L} SELECT log_id, lpad(lower(to_hex(CAST(list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), {_CODES}), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) AS UBIGINT))), 16, '0') AS hash FROM logs",
     "jaeger_search_orders": f"{_O} SELECT trace_id, min(s) AS start_unix_nano, max(e) AS end_unix_nano FROM spans GROUP BY trace_id HAVING bool_or(service = 'nation-7' AND name = 'ship O') AND max(e) >= 0 ORDER BY end_unix_nano DESC, trace_id LIMIT 1000",
     "jaeger_services": f"{_O} SELECT DISTINCT service FROM spans",
     "jaeger_operations": f"{_O} SELECT DISTINCT name AS operation FROM spans WHERE service = 'nation-7'",
@@ -287,8 +288,8 @@ ORACLE = {
     "tempo_search_q": f"{_E} SELECT trace_id, root_service_name, root_trace_name, start_time_unix_nano, duration_ms FROM (SELECT trace_id, max(e) AS me, {_ROOT} FROM spans GROUP BY trace_id HAVING bool_or(service = 'checkout') AND bool_or(k = '69') AND bool_or(code = '2') ORDER BY me DESC, trace_id LIMIT 50) x",
     "tempo_search_tags": f"{_E} SELECT trace_id, root_service_name, root_trace_name, start_time_unix_nano, duration_ms FROM (SELECT trace_id, max(e) AS me, {_ROOT} FROM spans GROUP BY trace_id HAVING bool_or(contains(lower(service), 'pay')) AND bool_or(contains(lower(name), 'sign')) AND max(e) >= {LO} AND min(s) <= {HI} ORDER BY me DESC, trace_id LIMIT 40) x",
     "tempo_summaries": f"{_E} SELECT trace_id, {_ROOT} FROM spans GROUP BY trace_id",
-    "tempo_tag_scopes": "SELECT * FROM (VALUES ('intrinsic', 'statusCode'), ('resource', 'service.name'), ('span', 'k')) t(scope, tags)",
-    "tempo_tags": "SELECT 'k' AS tag",
+    "tempo_tag_scopes": f"{_P}, t AS (SELECT DISTINCT {_SCOPE} AS scope, {_TAG} AS tag FROM p) SELECT scope, string_agg(tag, ',' ORDER BY tag) AS tags FROM t GROUP BY scope",
+    "tempo_tags": f"{_P} SELECT DISTINCT {_TAG} AS tag FROM p WHERE {_SCOPE} = 'span'",
     "tempo_tag_values": f"{_E} SELECT DISTINCT 'string' AS type, code AS value FROM spans",
     "otlp_export_groups": f"{_O} SELECT service, count(*) AS spans, count(*) FILTER (code = '2') AS failed FROM spans GROUP BY service",
     "otlp_proto_round_trip": f"""{_E} SELECT lpad(lower(hex(CAST(substr(trace_id, 7, 8) AS BIGINT))), 32, '0') AS trace_id, lpad(lower(hex(CAST(substr(span_id, 6, 10) AS BIGINT))), 16, '0') AS span_id, lpad(lower(hex(CAST(substr(parent_span_id, 6, 10) AS BIGINT))), 16, '0') AS parent_span_id,
@@ -298,7 +299,7 @@ ORACLE = {
       conv_id * 60000000000 + turn * 1000000000 + CAST(length(text) AS BIGINT) * 1000000 AS end_unix_nano,
       'resource_attr:service.name=agent-' || role || ',instrumentation_scope.name=chat,instrumentation_scope.version=-,span_attr:role=' || role || ',status_code=0,status_message=-' AS fields FROM conversations""",
     "log_span_round_trip": f"{_L} SELECT log_id, time_unix_nano, observed_time_unix_nano, severity_number, severity_text, body, trace_id, 'log_attr:type=' || event_type || ',resource_attr:service.name=' || service AS fields FROM plain",
-    "field_type_inference": "SELECT * FROM (VALUES ('resource_attr:service.name', 'string'), ('span_attr:k', 'i64'), ('status_code', 'i64')) t(name, encoding)",
+    "field_type_inference": f"{_P} SELECT name, CASE WHEN bool_and(lower(value) IN ('true', 'false')) THEN 'bool' WHEN bool_and(regexp_full_match(value, '[+-]?[0-9]+') AND TRY_CAST(value AS BIGINT) IS NOT NULL) THEN 'i64' ELSE 'string' END AS encoding FROM p GROUP BY name",
     "storage_stats": f"{_E} SELECT count(*) AS rows_ingested, count(DISTINCT trace_id) AS traces_tracked FROM spans",
     "log_trace_join": f"{_E}, w AS (SELECT trace_id, min(s) AS start_unix_nano, max(e) AS end_unix_nano FROM spans GROUP BY trace_id) SELECT 'log-' || CAST(s AS VARCHAR) || '-' || CAST(event_id AS VARCHAR) AS log_id, trace_id, s AS time_unix_nano, start_unix_nano, end_unix_nano FROM ev JOIN w USING (trace_id) WHERE event_id % 5 <> 0",
     "log_buckets": f"{_L} SELECT time_unix_nano // 3600000000000 AS hour, count(*) AS records, count(*) FILTER (severity_text = 'ERROR') AS errors FROM plain GROUP BY 1",

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracelake.schema import KV
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -88,3 +92,25 @@ def conversation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     scope = F.struct(F.lit("chat").alias("scope_name"), F.lit("").alias("scope_version"), F.array().cast("array<struct<key:string,value:struct<kind:string,value:string>>>").alias("scope_attributes"), "spans")
     resource = F.struct(F.array(text("service.name", F.col("service"))).alias("resource_attributes"), F.array(scope).alias("scope_spans"))
     return grouped.groupBy("trace_id").agg(F.to_json(F.struct(F.collect_list(resource).alias("resource_spans"))).alias("body")).select("body")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir; where that is unset, as in tests, one of this machine, and no cluster will do."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base is None and not (spark.sparkContext.master or "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{base or '/tmp/checkpoints/tracelake'}/{name}-{uuid.uuid4().hex}"
+
+
+def event_log_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(resource_logs): a request for each event; ids of traces are hexadecimal."""
+    e, kind = _table(spark, sf_dir, "events"), F.col("event_type")
+    text = lambda k, v: F.struct(F.lit(k).alias("key"), F.struct(F.lit("string").alias("kind"), v.alias("value")).alias("value"))
+    service = F.when(F.col("event_id") % 4 == 0, "checkout").when(F.col("event_id") % 4 == 1, "payments").when(F.col("event_id") % 4 == 2, "catalog").otherwise("-")
+    record = F.struct(
+        _nanos("ts").alias("time_unix_nano"), (_nanos("ts") + 1000).alias("observed_time_unix_nano"), F.when(kind == "error", 17).when(kind == "signup", 13).otherwise(9).alias("severity_number"),
+        F.when(kind == "error", "ERROR").when(kind == "signup", "WARN").otherwise("INFO").alias("severity_text"), F.struct(F.lit("string").alias("kind"), F.concat(kind, F.lit(" by user "), F.col("user_id").cast("string")).alias("value")).alias("body"),
+        F.when(F.col("event_id") % 5 != 0, F.lower(F.lpad(F.hex(F.col("user_id").cast("bigint")), 32, "0"))).alias("trace_id"), F.lit(None).cast("string").alias("span_id"), F.array(text("type", kind)).alias("attributes"),
+    )
+    scope = F.struct(F.lit("events").alias("scope_name"), F.lit(None).cast("string").alias("scope_version"), F.array().cast(f"array<{KV}>").alias("scope_attributes"), F.array(record).alias("log_records"))
+    return e.select(F.array(F.struct(F.array(text("service.name", service)).alias("resource_attributes"), F.array(scope).alias("scope_logs"))).alias("resource_logs"))

@@ -127,3 +127,13 @@ def log_id(resource: Column, scope: Column, record: Column, time: Column, body:
 def field_map_text(fields: str | Column = "fields") -> Column:
     """Fields in their order as name=value pairs, for flat results."""
     return F.array_join(F.transform(fields, lambda f: F.concat(f["name"], F.lit("="), f["value"])), ",")
+
+
+def unix_millis(c: Column) -> Column:
+    """Milliseconds since the epoch of a time stamp; earlier fractions count towards the epoch's side, as time stamps do."""
+    return F.unix_millis(c.cast("timestamp"))
+
+
+def millis_timestamp(c: Column) -> Column:
+    """The time stamp of milliseconds since the epoch."""
+    return F.timestamp_millis(c)

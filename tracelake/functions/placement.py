@@ -1,80 +1,38 @@
-"""Weighted rendezvous placement of traces on nodes, with topology groups; and metrics as text.
+"""Weighted rendezvous placement of traces on nodes with topology groups, for layouts outside Spark.
 
-Spark places data itself; this is for parity with stores that are laid out by such a placement.
+Spark places data itself. Where traces are dealt to stores of one's own (one store a node, say), every reader and
+writer finds the nodes of a trace from its id alone: highest random weight, drawn from a digest of id and node.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.fields import fnv1a64
-
-# fixed values of the hash functions (FNV-1a, splitmix64)
-_BASIS, _PRIME, _GOLD = 0xCBF29CE484222325, 0x100000001B3, 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
-
-
-def text_hash(text: str) -> int:
-    h = _BASIS
-    for b in text.encode():
-        h = (h ^ b) * _PRIME & _MASK
-    return h
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
 
-def scores(trace_hashes: np.ndarray, nodes: list[str], weights: dict[str, int]) -> np.ndarray:
-    """(traces x nodes): -ln(u) / weight of a uniform number from the pair's hash; the smallest wins."""
-    salt = [((h := text_hash(n)) << 32 | h >> 32) + _GOLD & _MASK for n in nodes]
-    h = mixed(trace_hashes[:, None] ^ np.array(salt, np.uint64)[None, :]).astype(np.float64)
-    return -np.log((h + 1.0) / (2.0**64 + 1.0)) / np.array([max(1, weights.get(n, 1)) for n in nodes], float)
-
-
-def choose(score: np.ndarray, nodes: list[str], groups: dict[str, str], replicas: int) -> np.ndarray:
-    """(traces x min(replicas, nodes)) node numbers: by score then name, one node a group first, the rest by score."""
-    name_rank = np.argsort(np.argsort(np.array(nodes)))
-    order = np.lexsort((np.broadcast_to(name_rank, score.shape), score), axis=1)
-    labels = sorted(set(groups.values()))
-    group = np.array([labels.index(groups[n]) if n in groups else -1 for n in nodes])
-    taken = np.zeros((len(score), max(1, len(labels))), bool)
-    # rank of each node of the order: nodes of a fresh group (or of none) come before nodes of a used group
-    late = np.zeros(order.shape, bool)
-    row = np.arange(len(score))
-    for j in range(order.shape[1]):
-        g = group[order[:, j]]
-        late[:, j] = (g >= 0) & taken[row, np.maximum(g, 0)]
-        taken[row[g >= 0], g[g >= 0]] = True
-    first = np.argsort(late, axis=1, kind="stable")
-    return np.take_along_axis(order, first, axis=1)[:, :replicas]
+def _draw(trace_id: Column, node: Column) -> Column:
+    """A number in (0, 1] from the first 13 hexadecimal digits of a digest, 52 bits."""
+    digits = F.substring(F.md5(F.concat(trace_id, F.lit("|"), node)), 1, 13)
+    return (F.conv(digits, 16, 10).cast("bigint") + 1) / F.lit(float(1 << 52))
 
 
 def placements(traces: DataFrame, nodes: list[str], replicas: int, weights: dict[str, int] | None = None, groups: dict[str, str] | None = None) -> DataFrame:
-    """(trace_id, nodes) of (trace_id)."""
-    weights, groups = weights or {}, groups or {}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            h = np.array([int(x, 16) for x in pdf["h"]], np.uint64)
-            picked = choose(scores(h, nodes, weights), nodes, groups, replicas) if len(h) else np.zeros((0, 0), int)
-            yield pd.DataFrame({"trace_id": pdf["trace_id"], "nodes": [[nodes[i] for i in r] for r in picked]})
+    """(trace_id, nodes) of (trace_id): at most `replicas` nodes, best first.
 
-    return traces.select("trace_id", fnv1a64(F.col("trace_id")).alias("h")).mapInPandas(run, "trace_id string, nodes array<string>")
+    A node's time is -ln(draw) / weight, smallest first, ties by name; weights below 1 count as 1. The first node of
+    each group comes before all others of the group; nodes without a group are never held back. Adding or
+    taking away a node moves only the traces that it gains or loses.
+    """
+    weights, groups = weights or {}, groups or {}
+    known = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(max(1, weights.get(n, 1)))).alias("weight"), F.lit(groups.get(n)).cast("string").alias("group")) for n in nodes])
+    timed = F.transform(known, lambda n: F.struct((-F.log(_draw(F.col("trace_id"), n["name"])) / n["weight"]).alias("time"), n["name"].alias("name"), n["group"].alias("group")))
+    ranked = traces.select("trace_id", F.array_sort(timed).alias("r"))
+    # later members of a group that is served go behind the others
+    late = F.transform("r", lambda n, i: F.struct(F.exists(F.slice("r", 1, i), lambda m: m["group"] == n["group"]).alias("late"), i.alias("i"), n["name"].alias("name")))
+    spread = F.array_sort(F.transform(late, lambda n: F.struct(F.coalesce(n["late"], F.lit(False)).alias("late"), n["i"].alias("i"), n["name"].alias("name"))))
+    return ranked.select("trace_id", F.transform(F.slice(spread, 1, replicas), lambda n: n["name"]).alias("nodes"))
 
 
 def shard(trace_id: Column, shards: int) -> Column:
     """A stable shard number of a trace."""
     return F.pmod(F.xxhash64(trace_id), F.lit(max(1, shards))).cast("int")
-
-
-def metrics_text(values: dict[str, int], prefix: str = "tracelake_") -> str:
-    """Prometheus text: names that end in _total are counters, others gauges."""
-    return "".join(f"# TYPE {prefix}{k} {'counter' if k.endswith('_total') else 'gauge'}\n{prefix}{k} {v}\n" for k, v in values.items())

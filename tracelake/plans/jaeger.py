@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.fields import first_value
 from tracelake.operators.traces import limited, list_services, matching_traces, operations_of
-from tracelake.request import TraceSearch
+from tracelake.request import MAX_JAEGER_LIMIT, TraceSearch
 from tracelake.schema import RESERVED, RESOURCE, SERVICE, SPAN
 
 
@@ -77,13 +79,21 @@ def trace_view(spans: DataFrame) -> DataFrame:
     return per_process.join(per_span, "trace_id")
 
 
-def response(data: DataFrame, column: str) -> DataFrame:
-    """One row: the JSON envelope around all values of a (small) answer."""
-    listed = data.agg(F.collect_list(column).alias("data"))
+def response(data: DataFrame, column: str, limit: int = MAX_JAEGER_LIMIT) -> DataFrame:
+    """One row: the JSON envelope around the first `limit` values of an answer, in order."""
+    listed = data.select(column).orderBy(column).limit(limit).agg(F.array_sort(F.collect_list(column)).alias("data"))
     body = F.struct("data", F.lit(None).cast("string").alias("errors"), F.lit(0).alias("limit"), F.lit(0).alias("offset"), F.size("data").alias("total"))
     return listed.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
 
 
-def not_found(spans: DataFrame, trace_id: str) -> dict:
+def trace_response(views: DataFrame, limit: int = MAX_JAEGER_LIMIT) -> DataFrame:
+    """One row: the JSON envelope around at most `limit` trace views (trace_id, processes, spans), by id; not_found()'s if there is none."""
+    one = F.struct("trace_id", F.to_json(F.struct(F.col("trace_id").alias("traceID"), "spans", "processes")).alias("v"))
+    listed = views.orderBy("trace_id").limit(limit).agg(F.array_sort(F.collect_list(one)).alias("all"))
+    body = F.concat(F.lit('{"data":['), F.array_join(F.transform("all", lambda x: x["v"]), ","), F.lit('],"errors":null,"limit":0,"offset":0,"total":'), F.size("all").cast("string"), F.lit("}"))
+    return listed.select(F.when(F.size("all") > 0, body).otherwise(json.dumps(not_found(), separators=(",", ":"))).alias("json"))
+
+
+def not_found() -> dict:
     """The envelope for a trace that isn't there."""
     return {"data": [], "errors": [{"code": 404, "msg": "trace not found"}], "limit": 0, "offset": 0, "total": 0}

@@ -37,6 +37,21 @@ def search(spans: DataFrame, req: TempoSearch) -> DataFrame:
     return _summary(limited(found, req.limit, F.desc("end_unix_nano"), F.asc("trace_id")))
 
 
+def search_body(found: DataFrame) -> DataFrame:
+    """(json): one row, the answer to a search as Tempo clients read it, newest first. found must come from a limited search."""
+    one = F.struct(F.col("trace_id").alias("traceID"), F.col("root_service_name").alias("rootServiceName"), F.col("root_trace_name").alias("rootTraceName"), F.col("start_time_unix_nano").alias("startTimeUnixNano"), F.col("duration_ms").alias("durationMs"))
+    placed = found.select(F.monotonically_increasing_id().alias("i"), one.alias("t"))
+    listed = placed.agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("all"))
+    return listed.select(F.to_json(F.struct(F.transform("all", lambda x: x["t"]).alias("traces"))).alias("json"))
+
+
+def trace_body(requests: DataFrame) -> DataFrame:
+    """(status, json): one row for a look-up's (trace_id, resource_spans): 200 and the request, or 404 and null if there is none."""
+    one = requests.agg(F.first("resource_spans").alias("resource_spans"))
+    found = F.col("resource_spans").isNotNull()
+    return one.select(F.when(found, 200).otherwise(404).alias("status"), F.when(found, F.to_json(F.struct("resource_spans"))).alias("json"))
+
+
 def summaries(spans: DataFrame) -> DataFrame:
     """The summary of every trace."""
     return _summary(spans.groupBy("trace_id").agg(F.min("start_unix_nano").alias("start_unix_nano"), F.max("end_unix_nano").alias("end_unix_nano"), _root()))
