@@ -50,6 +50,30 @@ def test_mix(spark):
     assert order(kept.collect()) == order(got) and set(kept.columns) >= {"text", "source", "taken"}
 
 
+def test_a_row_that_repeats_often(spark):
+    """A third of all rows is one row: its copies are taken in whole numbers and each row keeps its own columns."""
+    rows = [(7, "s", "a b c d e", i) for i in range(300)] + [(1000 + i, "s" if i % 2 else "t", " ".join(["w"] * (1 + i % 23)), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, note int")
+    got = M.mix_sources(df.repartition(5), keep=df.columns).collect()
+    assert sorted(x.note for x in got) == sorted(r[3] for r in rows)
+    copies = sorted(x.taken // 5 for x in got if x.doc_id == 7)
+    each = next(x.target / x.source_size for x in got if x.doc_id == 7)
+    assert abs(sum(copies) - 300 * each) < 1 and copies[-1] - copies[0] <= 1
+    for t in {x.target for x in got}:
+        assert abs(sum(x.taken for x in got if x.target == t) - t) <= 25
+    order = lambda q: sorted((x.doc_id, x.size, x.taken) for x in q)
+    assert order(M.mix_sources(df.repartition(2)).collect()) == order(got)
+
+
+def test_targets_of_many_sources_by_rounds(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, None if i % 50 == 7 else f"s{i % 37}", " ".join(["w"] * int(r.integers(0, 2 + (i % 37) ** 2)))) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    plain, wide = ({x.doc_id: (x.size, x.source_size, x.target, x.taken) for x in M.mix_sources(df, held_sources=k).collect()} for k in (1000, 3))
+    assert plain.keys() == wide.keys()
+    assert all(plain[i][:2] == wide[i][:2] and plain[i][2] == pytest.approx(wide[i][2], rel=1e-9) for i in plain)
+
+
 def test_small_blocks_meet_again(spark, monkeypatch):
     monkeypatch.setattr(M, "BLOCK", 16)
     monkeypatch.setattr(M, "FAN", 4)

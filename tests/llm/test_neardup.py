@@ -77,6 +77,12 @@ def test_one_large_group_of_near_copies(spark):
     assert sorted(got) == sorted(brute(rows, 3))
 
 
+def test_ids_that_are_texts(spark):
+    rows = [("b2", "a b c d e f g"), ("b10", "A b c d e f g"), ("x", "other words are here"), (None, "a b c d e f g"), ("y", None)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in N.near_duplicate_groups(spark.createDataFrame(rows, "doc_id string, text string"), shingle=3).collect()}
+    assert got == {"b2": (5, "b10", False), "b10": (5, "b10", True), "x": (2, "x", True), None: (5, None, False), "y": (0, "y", True)}
+
+
 def test_signatures_estimate_similarity():
     r = np.random.default_rng(0)
     for n, both in ((50, 40), (1000, 900)):

@@ -58,3 +58,12 @@ def test_given_sections_cut_tokens(spark):
     with pytest.raises(ValueError):
         T.token_counts(df, rule="x")
     assert T.token_counts(df.limit(0)).count() == 0
+
+
+def test_odd_sections(spark):
+    kind = "doc_id long, text string, parts array<struct<name:string,start:int,end:int>>"
+    odd = [("late", 6, 11), ("none", None, 3), ("early", 0, 6), ("back", 5, 2), ("far", 50, 60), None]
+    got = T.token_counts(spark.createDataFrame([(1, "Hello world", odd)], kind), sections_col="parts", rule="start").orderBy("section").collect()
+    assert [(r.name, r.n_tokens) for r in got] == [("late", 0.0), ("none", 0.0), ("early", 2.0), ("back", 0.0), ("far", 0.0), (None, 0.0)]
+    with pytest.raises(Exception, match="sections overlap"):
+        T.token_counts(spark.createDataFrame([(1, "Hello world", [("a", 0, 5), ("b", 4, 9)])], kind), sections_col="parts").collect()

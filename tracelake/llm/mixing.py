@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm import _bytes as B
@@ -24,8 +24,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
 #: Documents of a block of the first flight, and blocks whose rest meets in the next one.
 BLOCK, FAN = 4096, 1024
-#: The driver holds one row a source; more sources than this are refused.
-MAX_SOURCES = 1_000_000
+#: Sources whose targets the driver works out; those of more sources are worked out by rounds over a table.
+HELD_SOURCES = 100_000
 _EPS = 1e-9
 
 
@@ -147,65 +147,106 @@ def token_counts(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     return d.mapInArrow(run, f"{fields}, size long")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def _wide_targets(totals: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
+    """targets() for (src, n, docs) of any number of sources: (src, n, docs, target), a round of the resharing at a time."""
+    spark = totals.sparkSession
+    low = (1 << 33) - 1
+    placed = write_shared(totals.orderBy(F.asc_nulls_last("src")).withColumn("at", F.monotonically_increasing_id()), "sources")
+    per_part = {r.p: r.k for r in placed.groupBy(F.shiftright("at", 33).alias("p")).agg(F.count(F.lit(1)).alias("k")).collect()}  # a row a partition
+    before = np.cumsum([0, *[per_part[p] for p in sorted(per_part)]])
+    shift = spark.createDataFrame([(int(p), int(b)) for p, b in zip(sorted(per_part), before)] or [(0, 0)], "p long, b long")
+    index = F.col("b") + F.col("at").bitwiseAND(F.lit(low))
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(index, F.lit(len(weights))).cast("int"))
+    rows = placed.join(F.broadcast(shift), F.shiftright("at", 33) == F.col("p")).select("src", "n", "docs", weight.alias("w"), F.lit(False).alias("full"))
+    left = float(rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    while True:
+        rows = write_shared(rows, "sources")
+        total = rows.where("not full").agg(F.sum("w")).first()[0]
+        over = ~F.col("full") & (F.lit(left) * F.col("w") / F.lit(total or 1.0) > cap * F.col("n"))
+        took = rows.where(over).agg(F.sum("n")).first()[0]
+        if took is None:
+            share = F.lit(left) * F.col("w") / F.lit(total or 1.0)
+            return write_shared(rows.select("src", "n", "docs", F.when(F.col("full"), cap * F.col("n")).otherwise(share).cast("double").alias("target")), "source-targets")
+        left -= cap * took
+        rows = rows.withColumn("full", F.col("full") | over)
+
+
+def _numbered(rows: DataFrame, order: Column) -> DataFrame:
+    """rows (row, rid, ...) with nth: the place of each among the rows of equal `row`, by partition and then by order.
+
+    rid is a stored monotonically_increasing_id(), so a row that stands in a third of the table is numbered
+    partition by partition, and only one count a partition meets in one place.
+    """
+    rows = rows.withColumn("salt", F.shiftright("rid", 33))
+    counts = rows.groupBy("row", "salt").agg(F.count(F.lit(1)).alias("k"))
+    so_far = Window.partitionBy("row").orderBy("salt")
+    base = counts.select("row", "salt", (F.sum("k").over(so_far) - F.col("k")).alias("base"))
+    own = rows.withColumn("own", F.row_number().over(Window.partitionBy("row", "salt").orderBy(order)))
+    return own.join(base, ["row", "salt"]).withColumn("nth", F.col("base") + F.col("own")).drop("salt", "base", "own")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: list[str] | None = None, held_sources: int = HELD_SOURCES) -> DataFrame:
     """(doc_id, size, source_size, target, taken) and the other columns in `keep`, a row for each row of docs.
 
     taken is size times the copies that the mix takes (0 to cap). Null texts have size 0 and are never
-    taken; a null source is a source of its own, last in order. Rows that repeat an id are drawn apart.
-    Draws depend on ids, texts and sizes alone, so reruns agree whatever the partitioning.
+    taken; a null source is a source of its own, last in order. Rows that repeat an id with another text are
+    drawn apart. Of k rows that are the same in id, source and text, the whole part of k times their probability
+    is taken and the rest drawn once, so repeats cost no room. Draws depend on ids, texts and sizes alone, so
+    reruns agree whatever the partitioning.
     """
     spark = docs.sparkSession
     row = F.xxhash64(F.col(id_col).cast("string"), source_col, text_col)
     named = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("src"), F.col(text_col).alias("body"), row.alias("row"))
-    sized = write_shared(token_counts(named, "body", ["id", "src", "row"]), "sizes")
-    totals = sized.groupBy("src").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("docs")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    goal = targets([(r.src, r.n) for r in totals], weights, cap)
-    plan = []
-    for r in totals:
-        x = goal[r.src] / r.n if r.n else 0.0
-        whole = min(int(x + _EPS), int(cap))
-        frac = x - whole
-        plan.append((r.src, r.n, goal[r.src], whole, 0.0 if frac < _EPS else frac, max(1, -(-r.docs // BLOCK))))
-    plans = spark.createDataFrame(plan, "plan_src string, source_size long, target double, whole int, frac double, blocks long")
-    if len(plan) <= 10_000:
+    sized = write_shared(token_counts(named, "body", ["id", "src", "row"]).withColumn("rid", F.monotonically_increasing_id()), "sizes")
+    totals = sized.groupBy("src").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("docs"))
+    few = totals.limit(held_sources + 1).collect()
+    if len(few) <= held_sources:
+        goal = targets([(r.src, r.n) for r in few], weights, cap)
+        plans = spark.createDataFrame([(r.src, r.n, r.docs, goal[r.src]) for r in few], "src string, n long, docs long, target double")
+    else:
+        plans = _wide_targets(totals, weights, cap)
+    copies = F.when(F.col("n") > 0, F.col("target") / F.col("n")).otherwise(0.0)
+    whole = F.least(F.floor(copies + _EPS), F.lit(int(cap)))
+    part = copies - whole
+    plans = plans.select(F.col("src").alias("plan_src"), F.col("n").alias("source_size"), "target", whole.cast("int").alias("whole"), F.when(part < _EPS, 0.0).otherwise(part).alias("frac"), F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK)).cast("long").alias("blocks"))
+    blocks = plans.agg(F.max("blocks")).first()[0] or 1
+    if len(few) <= 10_000:
         plans = F.broadcast(plans)
     rows = sized.join(plans, sized["src"].eqNullSafe(plans["plan_src"])).drop("plan_src")
-    # rows of equal hash (repeats of one document) are told apart by a copy number, which costs no row its chance
     draw = rows.where("size > 0 and frac > 0").groupBy("src", "blocks", "row", "size", "frac").agg(F.count(F.lit(1)).alias("same"))
-    draw = draw.select("src", F.pmod(F.col("row"), "blocks").alias("block"), "row", "size", F.col("frac").alias("p"), F.explode(F.sequence(F.lit(1), F.col("same").cast("int"))).alias("copy"))
-    blocks = max([p[5] for p in plan], default=1)
-    schema = "src string, block long, row long, size long, p double, copy int"
+    sure = F.floor(F.col("same") * F.col("frac") + _EPS)
+    rest = F.col("same") * F.col("frac") - sure
+    draw = write_shared(draw.select("src", F.pmod(F.col("row"), "blocks").alias("block"), "row", "size", F.when(rest < _EPS, 0.0).otherwise(rest).alias("p"), sure.alias("sure"), "same"), "draws")
+    schema = "src string, block long, row long, size long, p double"
     settled = []
+    flying = draw.where("p > 0").select("src", "block", "row", "size", "p")
     while True:
         last = blocks <= 1
-        moved = draw.groupBy("src", "block").applyInPandas(_flyer(last), schema)
-        moved = write_shared(moved, "flight")
-        settled.append(moved.where("p = 0 or p = 1").select("src", "row", "size", "p"))
+        moved = write_shared(flying.groupBy("src", "block").applyInPandas(_flyer(last), schema), "flight")
+        settled.append(moved.where("p = 1").select("src", "row"))
         if last:
             break
         blocks = -(-blocks // FAN)
-        draw = moved.where("p > 0 and p < 1").withColumn("block", F.expr(f"block div {FAN}"))
-    taken = settled[0]
+        flying = moved.where("p > 0 and p < 1").withColumn("block", F.expr(f"block div {FAN}"))
+    drawn = settled[0]
     for x in settled[1:]:
-        taken = taken.unionByName(x)
-    taken = taken.where("p = 1").groupBy(F.col("src").alias("t_src"), F.col("row").alias("t_row")).agg(F.count(F.lit(1)).alias("hits"))
-    out = rows.join(taken, (rows["row"] == taken["t_row"]) & rows["src"].eqNullSafe(taken["t_src"]), "left")
-    # repeats of one row share a hash: the n-th of them is taken if n draws hit
-    twins = bool(sized.groupBy("row", "src").count().where("count > 1").limit(1).count())
-    by_row = Window.partitionBy("row").orderBy("row")
-    hits = F.coalesce("hits", F.lit(0))
+        drawn = drawn.unionByName(x)
+    hits = drawn.withColumn("hits", F.lit(1)).unionByName(draw.where("sure > 0").select("src", "row", F.col("sure").cast("int").alias("hits")))
+    hits = hits.groupBy(F.col("src").alias("t_src"), F.col("row").alias("t_row")).agg(F.sum("hits").alias("hits"))
+    twins = bool(sized.groupBy("row").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count())
     if twins:
-        out = out.withColumn("nth", F.row_number().over(by_row))
-        hits = (F.col("nth") <= hits).cast("int")
-    out = out.withColumn("taken", (F.col("size") * (F.col("whole") + hits)).cast("long"))
+        rows = _numbered(rows, F.col("rid"))
+    out = rows.join(hits, (rows["row"] == hits["t_row"]) & rows["src"].eqNullSafe(hits["t_src"]), "left")
+    more = F.coalesce("hits", F.lit(0))
+    if twins:  # the n-th of some rows that are the same is taken if so many are
+        more = (F.col("nth") <= more).cast("int")
+    out = out.withColumn("taken", (F.col("size") * (F.col("whole") + more)).cast("long"))
     if not keep:
         return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
     made = out.select(F.col("row").alias("m_row"), *([F.col("nth").alias("m_nth")] if twins else []), F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
-    whole = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], row.alias("row"))
+    kept = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], row.alias("row"))
     on = F.col("row") == F.col("m_row")
     if twins:
-        whole = whole.withColumn("nth", F.row_number().over(by_row))
+        kept = _numbered(write_shared(kept.withColumn("rid", F.monotonically_increasing_id()), "kept-rows"), F.col("rid")).drop("rid")
         on = on & (F.col("nth") == F.col("m_nth"))
-    return whole.join(made, on).select("doc_id", "size", "source_size", "target", "taken", *[F.col(f"k_{c}").alias(c) for c in keep if c not in ("doc_id", "size", "source_size", "target", "taken")])
+    return kept.join(made, on).select("doc_id", "size", "source_size", "target", "taken", *[F.col(f"k_{c}").alias(c) for c in keep if c not in ("doc_id", "size", "source_size", "target", "taken")])

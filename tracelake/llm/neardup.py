@@ -186,8 +186,11 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int
     shingle; null, empty and blank texts have none and link with nothing. Two documents are linked if
     100 * intersection >= percent * union of their full sets. component_id is the smallest id reachable,
     kept is doc_id = component_id. Rows with a null id link with nothing: component_id null, not kept.
-    Rows that repeat an id are the same document, so whatever links one links all.
+    Rows that repeat an id are the same document, so whatever links one links all. Ids of another kind than
+    integers (texts, say) are numbered in their own order and come back as they were.
     """
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return _by_rank(docs, id_col, text_col, shingle=shingle, percent=percent, bands=bands, rows=rows)
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     sk = write_shared(sketches(base, shingle, bands, rows), "sketches")
     # equal sets are one class, represented by its smallest id
@@ -215,6 +218,17 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int
     return rows_.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def _by_rank(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    """near_duplicate_groups() over the ranks of ids that are no integers."""
+    ids = docs.select(F.col(id_col).alias("id")).where("id is not null").distinct().orderBy("id").withColumn("doc_id", F.monotonically_increasing_id())
+    ids = write_shared(ids, "ids")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left").select("doc_id", "text")
+    found = near_duplicate_groups(rows, **options)
+    own = ids.select(F.col("id").alias("own"), "doc_id")
+    of = ids.select(F.col("id").alias("of"), F.col("doc_id").alias("component_id"))
+    return found.join(own, "doc_id", "left").join(of, "component_id", "left").select(F.col("own").alias("doc_id"), "n_shingles", F.col("of").alias("component_id"), "kept")
+
+
 def _tie_repeated(rows: DataFrame) -> DataFrame:
     """Merge the components that rows of one id fall in; does nothing where ids are unique."""
     twice = rows.where("doc_id is not null and c is not null").groupBy("doc_id").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b")

@@ -78,8 +78,9 @@ def token_counts(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, pattern: s
 
     Without sections_col the sections are the lines of the text, each with its line break, and a text
     without characters (null, empty) is one empty line of 0 tokens. sections_col names an array of
-    structs (name string, start long, end long) in characters, sorted and not overlapping; documents
-    with a null or empty array give no rows. n_tokens is fractional only under the rule "share".
+    structs (name string, start long, end long) in characters; documents with a null or empty array give no
+    rows. Sections may come in any order. One that is null, lacks a bound, ends before it begins or lies outside the
+    text holds nothing and gets 0 tokens; sections that overlap fail the job, as their tokens could count twice. n_tokens is fractional only under the rule "share".
     Repeated rows each give their rows; other columns are ignored.
     """
     if rule not in RULES:
@@ -106,15 +107,24 @@ def token_counts(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, pattern: s
                 z = char[stop - 1] + 1 if len(stop) else stop
                 if sections_col:
                     got = batch.column(2)[i].as_py() or []
-                    sa, sz = np.array([x["start"] for x in got], np.int64), np.array([x["end"] for x in got], np.int64)
-                    names += [x["name"] for x in got]
+                    sa, sz = np.array([(x or {}).get("start") or 0 for x in got], np.int64), np.array([(x or {}).get("end") or 0 for x in got], np.int64)
+                    lost = np.array([x is None or x["start"] is None or x["end"] is None or x["end"] < x["start"] for x in got], bool)
+                    names += [(x or {}).get("name") for x in got]
                 else:
                     n = int(char[-1]) + 1 if len(char) else 0
                     breaks = char[one == 10] + 1
                     sz = breaks if len(breaks) and breaks[-1] == n else np.r_[breaks, n]
                     sa = np.r_[0, sz[:-1]]
                     names += ["line"] * len(sa)
-                total, crossing = allocate(a, z, sa, sz, rule)
+                if sections_col:
+                    total, crossing = np.zeros(len(sa)), np.zeros(len(sa), np.int64)
+                    real = np.flatnonzero(~lost & (sz > sa))
+                    real = real[np.argsort(sa[real], kind="stable")]
+                    if (sa[real][1:] < sz[real][:-1]).any():
+                        raise ValueError("sections overlap")
+                    total[real], crossing[real] = allocate(a, z, sa[real], sz[real], rule)
+                else:
+                    total, crossing = allocate(a, z, sa, sz, rule)
                 k = len(sa)
                 at.append(np.full(k, i))
                 cols.append((np.arange(k), sa, sz, total, crossing, np.full(k, len(stop))))
