@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import json
 import os
-import time
-
 import shutil
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake import driver
+from tracelake.request import TraceSearch
 from tracelake.sources import otlp_json, otlp_proto
+from tracelake.store import TraceStore
 
 #: Requests of the ingest load, of five spans each.
 REQUESTS = 60_000
@@ -41,8 +42,8 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def ingest_rates(spark: SparkSession) -> dict[str, float]:
-    """Spans a second from bodies to flat rows, the better of three runs."""
-    path = tempfile.mkdtemp(prefix="bench-")
+    """Spans a second from bodies to flat rows, and from protobuf bodies to a store with its index, the best of three runs each."""
+    path = tempfile.mkdtemp(prefix="bench-")  # the bench runs on this machine alone
     try:
         bodies, out = load(spark, path), {}
         for name, source, df in zip(("json", "proto"), (otlp_json, otlp_proto), bodies):
@@ -52,11 +53,30 @@ def ingest_rates(spark: SparkSession) -> dict[str, float]:
                 otlp_json.flatten_traces(source.parse_trace_requests(df)).write.format("noop").mode("overwrite").save()
                 took.append(time.perf_counter() - began)
             out[f"ingest_{name}_spans_per_s"] = round(5 * REQUESTS / min(took))
+        took = []
+        for i in range(3):
+            store = TraceStore(spark, f"{path}/store-{i}", buckets=8)
+            began = time.perf_counter()
+            store.append_spans(otlp_json.flatten_traces(otlp_proto.parse_trace_requests(bodies[1])))
+            took.append(time.perf_counter() - began)
+        out["ingest_proto_store_spans_per_s"] = round(5 * REQUESTS / min(took))
+        out["store_search_seconds"] = searched(store)
         return out
     finally:
         shutil.rmtree(path, ignore_errors=True)
 
 
+def searched(store: TraceStore) -> float:
+    """Seconds of a limited search over the index of a store."""
+    took = []
+    for _ in range(3):
+        began = time.perf_counter()
+        found = store.search(TraceSearch(10_000, 50_000_000, "checkout", "GET /checkout")).collect()
+        took.append(time.perf_counter() - began)
+        assert len(found) == 20
+    return round(min(took), 3)
+
+
 def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = (

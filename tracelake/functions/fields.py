@@ -80,7 +80,7 @@ def strip_reserved(fields: Column) -> Column:
 def sort_fields(fields: Column) -> Column:
     """Fields by name, equal names in their order."""
     placed = F.transform(fields, lambda f, i: F.struct(f["name"].alias("name"), i.alias("i"), f["value"].alias("value")))
-    return F.transform(F.array_sort(placed), lambda f: F.struct(f["name"].alias("name"), f["value"].alias("value")))
+    return F.transform(F.sort_array(placed), lambda f: F.struct(f["name"].alias("name"), f["value"].alias("value")))
 
 
 def canonical_span_id(c: Column) -> Column:

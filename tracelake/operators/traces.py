@@ -58,7 +58,7 @@ def services_per_trace(spans: DataFrame) -> Column:
     """Sorted distinct services of a group of rows. Rows with more than one service are rare: only these send arrays to the aggregate."""
     own = _services(spans)
     more = F.flatten(F.collect_set(F.when(F.size(own) > 1, own)))
-    return F.array_sort(F.array_union(F.collect_set(F.get(own, F.lit(0))), more)).alias("services")
+    return F.sort_array(F.array_union(F.collect_set(F.get(own, F.lit(0))), more)).alias("services")
 
 
 def trace_windows(spans: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def trace_index(spans: DataFrame) -> DataFrame:
     fields = F.array_distinct(F.flatten(F.collect_set("fields")))
     return spans.groupBy("trace_id").agg(
         F.min("start_unix_nano").alias("start_unix_nano"), F.max("end_unix_nano").alias("end_unix_nano"), services_per_trace(spans),
-        F.array_sort(F.collect_set("name")).alias("operations"), fields.alias("fields"),
+        F.sort_array(F.collect_set("name")).alias("operations"), fields.alias("fields"),
     )
 
 

@@ -28,7 +28,7 @@ def search(spans: DataFrame, req: TraceSearch) -> DataFrame:
 
 def _tags(kept: Column, cut: str) -> Column:
     named = F.transform(kept, lambda f: F.struct(F.when(f["name"].startswith(cut), F.substring(f["name"], F.lit(len(cut) + 1), F.length(f["name"]))).otherwise(f["name"]).alias("key"), F.lit("string").alias("type"), f["value"].alias("value")))
-    return F.array_sort(F.array_distinct(F.filter(named, lambda t: t["key"] != "")))
+    return F.sort_array(F.array_distinct(F.filter(named, lambda t: t["key"] != "")))
 
 
 def process_tags() -> Column:
@@ -41,31 +41,36 @@ def span_tags() -> Column:
     return _tags(F.filter("fields", lambda f: ~f["name"].startswith(RESOURCE) & ~f["name"].isin(*RESERVED)), SPAN)
 
 
-def _placed(spans: DataFrame) -> DataFrame:
-    """Rows with their service and the place, by end, of its first row in the trace."""
-    tie = "ingest_seq" if "ingest_seq" in spans.columns else "span_id"
-    # the end of a service's first row, then its tie, order services as their first rows do
-    first = F.min(F.struct("end_unix_nano", tie)).over(Window.partitionBy("trace_id", "service"))
-    # one shuffle by trace serves this window and the numbering of services
-    return spans.repartition("trace_id").withColumn("service", F.coalesce(first_value(SERVICE), F.lit("-"))).withColumn("first", first)
+def _service() -> Column:
+    return F.coalesce(first_value(SERVICE), F.lit("-")).alias("service")
 
 
-def processes(spans: DataFrame) -> DataFrame:
-    """(trace_id, process_id, service, tags): services numbered p1, p2, ... as they appear by end."""
+def _numbered(spans: DataFrame, *tags: Column) -> DataFrame:
+    """(trace_id, process_id, service, ...): services numbered p1, p2, ... as their first rows appear by end."""
     tie = "ingest_seq" if "ingest_seq" in spans.columns else "span_id"
-    named = spans.select("trace_id", F.coalesce(first_value(SERVICE), F.lit("-")).alias("service"), "end_unix_nano", tie, process_tags().alias("t"))
-    per = named.groupBy("trace_id", "service").agg(F.min(F.struct("end_unix_nano", tie)).alias("first"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("t")))).alias("tags"))
+    named = spans.select("trace_id", _service(), "end_unix_nano", tie, *tags)
+    more = [F.sort_array(F.array_distinct(F.flatten(F.collect_set("t")))).alias("tags")] if tags else []
+    per = named.groupBy("trace_id", "service").agg(F.min(F.struct("end_unix_nano", tie)).alias("first"), *more)
     number = F.row_number().over(Window.partitionBy("trace_id").orderBy("first", "service"))
-    return per.select("trace_id", F.concat(F.lit("p"), number.cast("string")).alias("process_id"), "service", "tags")
+    return per.select("trace_id", F.concat(F.lit("p"), number.cast("string")).alias("process_id"), "service", *(["tags"] if tags else []))
+
+
+def processes(spans: DataFrame) -> DataFrame:
+    """(trace_id, process_id, service, tags): the union of the tags of a process's spans."""
+    return _numbered(spans, process_tags().alias("t"))
 
 
 def span_rows(spans: DataFrame) -> DataFrame:
-    """A row for each span: process, microsecond times, reference to the parent, tags."""
-    number = F.dense_rank().over(Window.partitionBy("trace_id").orderBy("first", "service"))
+    """A row for each span: process, microsecond times, reference to the parent, tags.
+
+    Numbers come from the few rows of a trace's services; the spans are joined to them by hash, unsorted, and a large
+    trace can be split.
+    """
     parent = F.struct(F.lit("CHILD_OF").alias("refType"), F.col("parent_span_id").alias("spanID"), F.col("trace_id").alias("traceID"))
     none = F.expr("array()").cast("array<struct<refType:string,spanID:string,traceID:string>>")
-    return _placed(spans).select(
-        "trace_id", "span_id", F.col("name").alias("operation_name"), F.concat(F.lit("p"), number.cast("string")).alias("process_id"),
+    named = spans.withColumn("service", _service())
+    return named.join(_numbered(spans).hint("shuffle_hash"), ["trace_id", "service"]).select(
+        "trace_id", "span_id", F.col("name").alias("operation_name"), "process_id",
         F.expr("start_unix_nano div 1000").alias("start_time"), F.expr("(end_unix_nano - start_unix_nano) div 1000").alias("duration"),
         F.when(F.col("parent_span_id").isNotNull(), F.array(parent)).otherwise(none).alias("references"), span_tags().alias("tags"), F.col("end_unix_nano"),
     )
@@ -74,7 +79,7 @@ def span_rows(spans: DataFrame) -> DataFrame:
 def trace_view(spans: DataFrame) -> DataFrame:
     """(trace_id, processes, spans): the nested view of each trace, spans by end."""
     s = F.struct("end_unix_nano", "span_id", F.struct(F.col("trace_id").alias("traceID"), F.col("span_id").alias("spanID"), F.col("operation_name").alias("operationName"), F.col("process_id").alias("processID"), F.col("start_time").alias("startTime"), "duration", "references", "tags").alias("s"))
-    per_span = span_rows(spans).groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(s)), lambda x: x["s"]).alias("spans"))
+    per_span = span_rows(spans).groupBy("trace_id").agg(F.transform(F.sort_array(F.collect_list(s)), lambda x: x["s"]).alias("spans"))
     per_process = processes(spans).groupBy("trace_id").agg(F.map_from_entries(F.collect_list(F.struct("process_id", F.struct(F.col("service").alias("serviceName"), "tags")))).alias("processes"))
     return per_process.join(per_span, "trace_id")
 

@@ -13,7 +13,7 @@ def _by_prefix(prefix: str) -> Column:
     """Key-value attributes of the fields with the prefix, by key; equal keys in their order."""
     own = F.filter("fields", lambda f: f["name"].startswith(prefix))
     keyed = F.transform(own, lambda f, i: F.struct(F.substring(f["name"], F.lit(len(prefix) + 1), F.length(f["name"])).alias("key"), i.alias("i"), f["value"].alias("v")))
-    return F.transform(F.array_sort(keyed), lambda f: F.struct(f["key"].alias("key"), F.struct(F.lit("string").alias("kind"), f["v"].alias("value")).alias("value")))
+    return F.transform(F.sort_array(keyed), lambda f: F.struct(f["key"].alias("key"), F.struct(F.lit("string").alias("kind"), f["v"].alias("value")).alias("value")))
 
 
 def _last(name: str, keep_dash: bool = False) -> Column:
@@ -37,7 +37,7 @@ def export_parts(spans: DataFrame) -> DataFrame:
 def export_requests(spans: DataFrame) -> DataFrame:
     """(trace_id, resource_spans): one request a trace, a resource for each distinct resource and scope, groups by their JSON key, spans by end."""
     x = export_parts(spans)
-    groups = x.groupBy("trace_id", "group_key").agg(F.first("g").alias("g"), F.array_sort(F.collect_list(F.struct("end_unix_nano", F.col("span.span_id").alias("id"), "span"))).alias("s"))
+    groups = x.groupBy("trace_id", "group_key").agg(F.first("g").alias("g"), F.sort_array(F.collect_list(F.struct("end_unix_nano", F.col("span.span_id").alias("id"), "span"))).alias("s"))
     scope = F.struct(F.col("g.scope_name").alias("scope_name"), F.col("g.scope_version").alias("scope_version"), F.col("g.scope_attributes").alias("scope_attributes"), F.transform("s", lambda y: y["span"]).alias("spans"))
     one = F.struct("group_key", F.struct(F.col("g.resource_attributes").alias("resource_attributes"), F.array(scope).alias("scope_spans")).alias("r"))
     return groups.groupBy("trace_id").agg(F.sort_array(F.collect_list(one)).alias("all")).select("trace_id", F.transform("all", lambda y: y["r"]).alias("resource_spans"))
