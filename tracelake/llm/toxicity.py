@@ -108,8 +108,7 @@ class ToxicityModel:
 
 
 def _flat(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [B.column_bytes(pa.array(texts[i : i + 500], pa.binary())) for i in range(0, len(texts), 500)]
-    got = [tokens(*p) for p in parts]
+    got = [tokens(*B.column_bytes(pa.array(texts[i : i + 500], pa.binary()))) for i in range(0, len(texts), 500)]
     first = np.cumsum(np.r_[0, *[np.diff(f) for _, f in got]]) if got else np.zeros(1, np.int64)
     return (np.concatenate([h for h, _ in got]) if got else np.zeros(0, np.uint64)), first
 
@@ -121,43 +120,54 @@ def train(ordinary: list[bytes], toxic: list[bytes]) -> ToxicityModel:
     it, so a passage that stands in many copies counts once.
     """
     streams = [_flat(ordinary), _flat(toxic)]
-    prevs = [_previous(h, f) for h, f in streams]
-    words = np.unique(np.concatenate([x for (h, _), p in zip(streams, prevs) for x in (h, p)]))
+    some_word = any(len(h) for h, _ in streams)
+    words = np.unique(np.concatenate([*(np.unique(h) for h, _ in streams), *([np.array([_START])] if some_word else [])]))
     n = len(words)
     if not n:
         return ToxicityModel(words, np.zeros((0, 2)), np.ones(2), np.zeros((0, 2)), words, np.zeros((0, 2)), np.zeros(3 + len(PASSAGES)))
+    begin = int(np.searchsorted(words, _START))
     once = []
-    for (h, f), p in zip(streams, prevs):
-        _, at = np.unique(_pair(_previous(p, f), _pair(p, h)), return_index=True)
-        once.append((np.searchsorted(words, p) * n + np.searchsorted(words, h))[at])
-    code, at = np.unique(np.concatenate(once), return_inverse=True)
-    count = np.zeros((len(code), 2))
-    np.add.at(count, (at, np.repeat([0, 1], [len(x) for x in once])), 1)
-    u, w = code // n, code % n
+    while streams:  # class by class, so that the driver holds the arrays of one at a time
+        h, f = streams.pop(0)
+        starts = f[:-1][np.diff(f) > 0]
+        w = np.searchsorted(words, h).astype(np.int32)
+        del h
+        u = np.empty_like(w)
+        u[1:], u[starts] = w[:-1], begin
+        before = np.empty_like(w)
+        before[1:], before[starts] = u[:-1], begin
+        code = u.astype(np.int64) * n + w
+        del u, w
+        _, at = np.unique(_pair(before.astype(np.uint64), B.mix(code.view(np.uint64))), return_index=True)
+        once.append(np.unique(code[at], return_counts=True))
+        del code, before, at
+    code = np.union1d(once[0][0], once[1][0])
+    u, w = (code // n).astype(np.int32), (code % n).astype(np.int32)
     # the shared model: in how many contexts of either class a word stands, up to SHARED, as what one class says often must not
     # become the other's backoff; unknown words weigh as much as all that stand in one context
     pooled = np.minimum(np.bincount(w, minlength=n), SHARED).astype(np.float64)
     rare = max(1.0, float((pooled == 1).sum()))
     shared, none = pooled / (pooled.sum() + rare), rare / (pooled.sum() + rare)
     low, unknown, high, keep = np.zeros((n, 2)), np.zeros(2), np.zeros((len(code), 2)), np.ones((n, 2))
-    for c in (0, 1):
-        some = count[:, c] > 0
-        if not some.any():
+    for c, (own, number) in enumerate(once):
+        if not len(own):
             low[:, c], unknown[c] = shared, none
             continue
+        at = np.searchsorted(code, own)
         # the class's continuation counts, backed off to the shared ones
-        cont = np.bincount(w[some], minlength=n).astype(np.float64)
+        cont = np.bincount(w[at], minlength=n).astype(np.float64)
         left = np.maximum(cont - DISCOUNTS[0], 0)
         size = cont.sum() * (1 + COMMON)
         back = 1 - left.sum() / size
         low[:, c], unknown[c] = left / size + back * shared, back * none
         # its bigrams, backed off to these
-        seen = np.bincount(u, weights=count[:, c], minlength=n) + CONTEXT
-        high[:, c] = np.maximum(count[:, c] - DISCOUNTS[1], 0) / seen[u]
+        seen = np.bincount(u[at], weights=number, minlength=n) + CONTEXT
+        high[at, c] = np.maximum(number - DISCOUNTS[1], 0) / seen[u[at]]
         keep[:, c] = 1 - np.bincount(u, weights=high[:, c], minlength=n)
-    pairs = _pair(words[u], words[w])
+    told = np.flatnonzero((high > 0).any(axis=1))  # what the discount leaves nothing of has no row
+    pairs = _pair(words[u[told]], words[w[told]])
     o = np.argsort(pairs)
-    return ToxicityModel(words, low, unknown, keep, pairs[o], high[o], np.ones(3 + len(PASSAGES)))
+    return ToxicityModel(words, low, unknown, keep, pairs[o], high[told[o]], np.ones(3 + len(PASSAGES)))
 
 
 def fit_toxicity_model(docs: DataFrame, labels: DataFrame, train_rows: Column) -> ToxicityModel:
