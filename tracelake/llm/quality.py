@@ -22,7 +22,7 @@ from tracelake.llm import _bytes as B
 #: Bounds of the training sample: rows and bytes a class.
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 24 << 20
 #: Size of a dictionary, bytes that are compressed at a time, and the trainer's segment and substring sizes.
-DICTIONARY_BYTES, BLOCK_BYTES, LEVEL, SEGMENT, SUBSTRING = 1 << 18, 1024, 3, 256, 8
+DICTIONARY_BYTES, BLOCK_BYTES, LEVEL, SEGMENT, SUBSTRING = 1 << 19, 512, 3, 512, 8
 
 
 @dataclass
