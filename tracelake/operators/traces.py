@@ -117,10 +117,11 @@ def search_traces(spans: DataFrame, req: TraceSearch) -> DataFrame:
     """(trace_id, start_unix_nano, end_unix_nano, services): newest end first, then trace id.
 
     Windows cover whole traces, the range is inclusive on both ends. The first aggregate holds only numbers and
-    flags, so it stays a hash aggregate; with a limit, services are gathered for its hits alone.
+    flags, so it stays a hash aggregate; services are gathered for its hits alone. A search that asks for all traces
+    takes one aggregate for both.
     """
     spans = promoted(spans)
-    if req.limit is None:
+    if req.limit is None and not predicates(spans, req):
         return matching_traces(spans, req, aggregates=[services_per_trace(spans)])
     return _with_services(_newest(matching_traces(spans, req), req.limit), spans, req.limit)
 
