@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from tracelake import driver as D
 from tracelake import fixtures as X
 from tracelake.functions.fields import field_map_text, flat_value, log_id, strip_reserved, unix_millis
 from tracelake.functions.placement import placements as place
+from tracelake.functions.placement import shard
 from tracelake.operators import logs as L
 from tracelake.operators import metrics as M
 from tracelake.operators import traces as T
@@ -104,6 +106,23 @@ def stream_ingest(spark, d):
     return T.trace_windows(store.index())
 
 
+def stream_running_windows(spark, d):
+    """The running state over a stream of the events' spans, after its last batch."""
+    inbox, name = X.scratch(spark, "inbox"), f"w{uuid.uuid4().hex}"
+    spans = X.event_spans(spark, d)
+    spans.repartition(6).write.parquet(inbox)
+    stream = ingest.running_windows(spark.readStream.schema(spans.schema).option("maxFilesPerTrigger", 2).parquet(inbox))
+    stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", X.scratch(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).withColumns({"services": F.array_join("services", ","), "operations": F.array_join("operations", ",")})
+
+
+def sharded_decode(spark, d):
+    """Protobuf logs decoded and dealt to shards by trace: no record is lost and no trace is split."""
+    rows = _flat_logs(otlp_proto.parse_log_requests(otlp_proto.to_log_bodies(X.event_log_requests(spark, d)).repartition(5))).where("trace_id is not null")
+    per = rows.withColumn("shard", shard(F.col("trace_id"), 16)).repartition("shard").groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("shard").alias("s"))
+    return per.agg(F.sum("n").alias("records"), F.count(F.lit(1)).alias("traces"), F.count_if(F.col("s") > 1).alias("split"))
+
+
 def jaeger_trace_views(spark, d):
     """Nested views of the traces that a search finds: processes with their services, spans in order."""
     spans = X.order_spans(spark, d)
@@ -278,6 +297,9 @@ ORACLE = {
     "store_logs": D.ORACLE["log_upsert"],
     "stream_ingest": """SELECT 'conv-' || lpad(CAST(conv_id AS VARCHAR), 8, '0') AS trace_id, min(conv_id * 60000000000 + turn * 1000000000) AS start_unix_nano,
       max(conv_id * 60000000000 + turn * 1000000000 + CAST(length(text) AS BIGINT) * 1000000) AS end_unix_nano FROM conversations GROUP BY conv_id""",
+    "stream_running_windows": f"""{D._E} SELECT trace_id, min(s) AS start_unix_nano, max(e) AS end_unix_nano, count(*) AS spans, coalesce(string_agg(DISTINCT nullif(service, '-'), ',' ORDER BY nullif(service, '-')), '') AS services,
+      string_agg(DISTINCT name, ',' ORDER BY name) AS operations FROM spans GROUP BY trace_id""",
+    "sharded_decode": f"{D._L} SELECT CAST(count(*) AS BIGINT) AS records, count(DISTINCT trace_id) AS traces, CAST(0 AS BIGINT) AS split FROM logs WHERE trace_id IS NOT NULL",
     "jaeger_trace_views": f"""{D._O}, f AS ({D._FIRST}), n AS (SELECT trace_id, service, 'p' || row_number() OVER (PARTITION BY trace_id ORDER BY f, service) AS p FROM f),
       hits AS (SELECT trace_id FROM spans GROUP BY trace_id HAVING bool_or(service = 'nation-7') ORDER BY max(e) DESC, trace_id LIMIT 200),
       a AS (SELECT trace_id, string_agg(p || '=' || service, ',' ORDER BY p) AS processes FROM n GROUP BY trace_id), b AS (SELECT trace_id, string_agg(span_id || '@' || p, ',' ORDER BY e, span_id) AS spans FROM spans JOIN n USING (trace_id, service) GROUP BY trace_id)
@@ -316,7 +338,7 @@ ORACLE = {
 }
 
 _QUERIES = (
-    log_ids, flatten_otlp_logs, otlp_log_proto_round_trip, grpc_frames, store_search, store_compacted_search, store_trace, store_logs, stream_ingest, jaeger_trace_views, jaeger_process_tags, jaeger_services_body, jaeger_trace_body,
+    log_ids, flatten_otlp_logs, otlp_log_proto_round_trip, grpc_frames, store_search, store_compacted_search, store_trace, store_logs, stream_ingest, stream_running_windows, sharded_decode, jaeger_trace_views, jaeger_process_tags, jaeger_services_body, jaeger_trace_body,
     tempo_search_body, tempo_trace_body, native_trace_json, native_hit_json, native_log_json, native_request, metrics_page, stringified_values, reserved_names, invalid_ranges, sorted_lists, replica_missing, replica_differing,
     placements, system_times, latency_buckets,
 )
