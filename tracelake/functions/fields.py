@@ -31,8 +31,8 @@ def float_text(d: Column) -> Column:
 def flat_value(v: Column) -> Column:
     """Text of a tagged value {kind, value}."""
     kind, text = v["kind"], F.coalesce(v["value"], F.lit(""))
-    number = F.when(kind == "f64", float_text(text.try_cast("double")))
-    return F.when(kind == "string", normalize(text)).when(kind == "f64", F.coalesce(number, text)).when(kind == "bool", F.lower(text)).otherwise(normalize(text))
+    number = F.coalesce(float_text(text.try_cast("double")), text)
+    return F.when(kind == "f64", number).when(kind == "bool", F.lower(text)).when(text == "", F.lit("-")).otherwise(text)
 
 
 def prefixed(attributes: Column, prefix: str) -> Column:

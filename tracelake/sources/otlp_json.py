@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.functions.fields import canonical_span_id, flat_value, log_id, normalize, optional_field, prefixed, strip_reserved
+from tracelake.functions.fields import canonical_span_id, flat_value, log_id, normalize, optional_field, prefixed
 from tracelake.schema import LOG, LOG_COLUMNS, RESOURCE, RESOURCE_LOGS, RESOURCE_SPANS, SCOPE, SCOPE_NAME, SCOPE_VERSION, SPAN, SPAN_COLUMNS, STATUS_CODE, STATUS_MESSAGE
 
 
@@ -41,7 +41,8 @@ def flatten_unchecked(requests: DataFrame) -> DataFrame:
     return x.select(
         F.col("x")["trace_id"].alias("trace_id"), canonical_span_id(F.col("x")["span_id"]).alias("span_id"), canonical_span_id(F.col("x")["parent_span_id"]).alias("parent_span_id"), F.col("x")["name"].alias("name"),
         F.col("x")["start_time_unix_nano"].alias("start_unix_nano"), end.alias("end_unix_nano"), end.alias("time_unix_nano"),
-        strip_reserved(F.concat("shared", prefixed(F.col("x")["attributes"], SPAN), status)).alias("fields"),
+        # every name has a prefix or is one of the scope's or status's, so none is a reserved one that strip_reserved() would take
+        F.concat("shared", prefixed(F.col("x")["attributes"], SPAN), status).alias("fields"),
         (F.shiftleft(F.col("ri").cast("bigint"), 42) + F.shiftleft(F.col("si").cast("bigint"), 24) + F.col("i")).alias("ingest_seq"),
     )
 
