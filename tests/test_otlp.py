@@ -132,6 +132,49 @@ def test_odd_wire_data():
         p.decode_traces(pa.array([p._put(1, p._put(2, p._put(2, p._put(5, b"\xff\xfe"))))], pa.binary()))
 
 
+def test_batches_are_converted_in_bounded_pieces():
+    """However many and large the requests of an Arrow batch are, a worker holds the arrays of about a MB of them."""
+    p, ran = otlp_proto, []
+
+    class Frame:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, kind: ran.append(run)
+
+    request = [{"resource_attributes": [], "scope_spans": [{"scope_name": "n", "scope_version": None, "scope_attributes": [], "spans": [one(attrs=[kv("k", "string", "v" * 100)], status=None) | {"trace_id": "ab" * 16, "span_id": "cd" * 8} for _ in range(100)]}]}]
+    requests_ = pa.array([request] * 400, p._RESOURCE_SPANS)
+    for make, column in ((p.to_trace_bodies, requests_), (p.parse_trace_requests, p.encode_trace_column(requests_))):
+        make(Frame())
+        out = list(ran.pop()(iter([pa.RecordBatch.from_arrays([column], names=["x"])])))
+        assert sum(len(b) for b in out) == 400 and len(out) > 4 and max(b.nbytes for b in out) < 4 << 20
+    assert pa.concat_arrays([b.column(0) for b in out]).to_pylist() == [request] * 400
+
+
+def test_columns_are_written_as_messages_are():
+    """Absent, odd and extreme values give the same bytes as a message put together by hand."""
+    p = otlp_proto
+    long = [kv(f"k{i}", "string", "x" * i) for i in range(300)]
+    span_ = {"trace_id": None, "span_id": "0 ff", "parent_span_id": "ABcd", "name": "", "start_time_unix_nano": -5, "end_time_unix_nano": 1 << 62, "attributes": [{"key": None, "value": None}, kv("i", "i64", "-1"), kv("f", "f64", "1e400"), kv("b", "bool", "true"), *long], "status": {"code": -1, "message": None}}
+    value = [b"\x0a\x00", p._put_varint(3 << 3) + p._put_varint(-1), p._put_varint(4 << 3 | 1) + bytes(6) + b"\xf0\x7f", b"\x10\x01"]
+    attributes_ = [p._put_text(1, k) + p._put(2, v) for k, v in zip([None, "i", "f", "b"], value)]
+    whole = p._put(1, b"") + p._put(2, p.id_bytes("0 ff", 8)) + p._put(4, b"\xab\xcd") + p._put_fixed(8, 1 << 62) + b"".join(p._put(9, a) for a in attributes_) + p._put_kvs(9, long) + p._put(15, p._put_int(3, -1))
+    request = [{"resource_attributes": None, "scope_spans": [{"scope_name": None, "scope_version": "", "scope_attributes": None, "spans": [span_]}]}, {"resource_attributes": [], "scope_spans": None}]
+    want = p._put(1, p._put(1, b"") + p._put(2, p._put(2, whole))) + p._put(1, p._put(1, b""))
+    column = pa.array([request, None, request, []], p._RESOURCE_SPANS)
+    assert p.encode_trace_column(column).to_pylist() == [want, b"", want, b""] and p.encode_trace_column(column.slice(1, 2)).to_pylist() == [b"", want]
+    back = p.decode_traces(pa.array([want])).to_pylist()[0][0]["scope_spans"][0]["spans"][0]["attributes"]
+    assert back[4:] == long and [a["value"]["value"] for a in back[:4]] == ["", "-1", "inf", "true"]
+
+
+def test_records_do_not_carry_their_siblings(spark):
+    """The rows that come of a scope hold what they share and themselves, not the scope with all of its spans."""
+    df = spark.createDataFrame([(json.dumps(trace_request([one(attrs=[kv("a", "string", "b")])])),)], "body string")
+    plan = otlp_json.flatten_traces(otlp_json.parse_trace_requests(df))._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Generate":
+        plan = plan.children().apply(0)
+    kinds = {a.name(): a.dataType().sql() for a in (plan.output().apply(i) for i in range(plan.output().size()))}
+    assert not any("SPANS" in k.upper() or "ARRAY<STRUCT<TRACE_ID" in k.upper() for k in kinds.values()), kinds
+
+
 def test_protobuf_logs_round_trip(spark):
     df = spark.createDataFrame([(json.dumps(LOG_REQUEST).replace('"tr"', '"' + "ab" * 16 + '"'),)], "body string")
     requests = otlp_json.parse_log_requests(df)

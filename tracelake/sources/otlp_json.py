@@ -24,15 +24,17 @@ def parse_log_requests(bodies: DataFrame, body: str = "body") -> DataFrame:
     return bodies.select(F.from_json(body, f"resource_logs {RESOURCE_LOGS}", {"mode": "FAILFAST"}).alias("r")).select("r.resource_logs")
 
 
-def _shared(resource: Column, scope: Column) -> Column:
-    return F.concat(prefixed(resource["resource_attributes"], RESOURCE), optional_field(SCOPE_NAME, scope["scope_name"]), optional_field(SCOPE_VERSION, scope["scope_version"]), prefixed(scope["scope_attributes"], SCOPE))
+def _scopes(requests: DataFrame, resources: str, group: str, items: str) -> DataFrame:
+    """(ri, si, shared, items) of each scope. What its records share is made once, and none of them carries the others along."""
+    r = requests.select(F.posexplode(resources).alias("ri", "r")).select("ri", prefixed(F.col("r")["resource_attributes"], RESOURCE).alias("own"), F.col("r")[group].alias("scopes"))
+    s = F.col("s")
+    shared = F.concat("own", optional_field(SCOPE_NAME, s["scope_name"]), optional_field(SCOPE_VERSION, s["scope_version"]), prefixed(s["scope_attributes"], SCOPE))
+    return r.select("ri", "own", F.posexplode("scopes").alias("si", "s")).select("ri", "si", shared.alias("shared"), s[items].alias("items"))
 
 
 def flatten_unchecked(requests: DataFrame) -> DataFrame:
     """Span rows of (resource_spans), with ingest_seq: the place within the request. Spans may end before they begin."""
-    r = requests.select(F.posexplode("resource_spans").alias("ri", "r"))
-    s = r.select("ri", "r", F.posexplode(F.col("r")["scope_spans"]).alias("si", "s"))
-    x = s.select("ri", "si", _shared(F.col("r"), F.col("s")).alias("shared"), F.posexplode(F.col("s")["spans"]).alias("i", "x"))
+    x = _scopes(requests, "resource_spans", "scope_spans", "spans").select("ri", "si", "shared", F.posexplode("items").alias("i", "x"))
     status = F.when(
         F.col("x")["status"].isNotNull(),
         F.concat(optional_field(STATUS_CODE, F.coalesce(F.col("x")["status"]["code"], F.lit(0)).cast("string")), optional_field(STATUS_MESSAGE, F.coalesce(F.col("x")["status"]["message"], F.lit("")))),
@@ -66,9 +68,7 @@ def flatten_traces_lenient(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def flatten_logs(requests: DataFrame) -> DataFrame:
     """Log rows of (resource_logs); the id keeps the record's place in its request."""
-    r = requests.select(F.posexplode("resource_logs").alias("ri", "r"))
-    s = r.select("ri", "r", F.posexplode(F.col("r")["scope_logs"]).alias("si", "s"))
-    x = s.select("ri", "si", _shared(F.col("r"), F.col("s")).alias("shared"), F.posexplode(F.col("s")["log_records"]).alias("i", "x"))
+    x = _scopes(requests, "resource_logs", "scope_logs", "log_records").select("ri", "si", "shared", F.posexplode("items").alias("i", "x"))
     rec = F.col("x")
     body = normalize(F.coalesce(flat_value(rec["body"]), F.lit("")))
     rows = x.select(
