@@ -1,4 +1,4 @@
-
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from helpers import spans_df, span, svc
@@ -18,6 +18,15 @@ def test_fnv(spark):
     assert got == [fnv(t) for t in texts]
 
 
+def test_fnv_goes_by_columns(spark):
+    """The hash is no lambda over the bytes of a row; nulls, a slice and few long texts among short ones give the plain loop's digits."""
+    texts = [None, "", *[f"{i}é" * (i % 7) for i in range(40)], "y" * 5000, "z" * 3000]
+    for some in (pa.array(texts), pa.array(texts).slice(35), pa.array(texts[:1])):
+        assert X._fnv1a64(some).to_pylist() == [fnv(t or "") for t in some.to_pylist()]
+    plan = spark.createDataFrame([("a",)], "t string").select(X.fnv1a64(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan, plan
+
+
 def test_float_text(spark):
     cases = {"1.0": "1", "1e20": "100000000000000000000", "0.1": "0.1", "-2.5e-7": "-0.00000025", "1.5e3": "1500", "123456789.125": "123456789.125", "1.25e10": "12500000000", "0": "0", "1.2345678912e7": "12345678.912", "NaN": "NaN"}
     rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", X.float_text(F.col("t").cast("double")).alias("x")).collect()

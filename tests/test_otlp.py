@@ -72,6 +72,13 @@ def test_logs(spark):
     assert r.text == "resource_attr:service.name=mill,instrumentation_scope.name=ear,scope_attr:unit=kg,log_attr:stone=upper"
 
 
+def test_json_is_parsed_once(spark):
+    """No filter on the length of the parsed array gets below the rows, where it would parse every request again."""
+    df = spark.createDataFrame([(json.dumps(LOG_REQUEST),), ('{"resource_logs":[]}',), ("{}",)], "body string")
+    rows = otlp_json.flatten_logs(otlp_json.parse_log_requests(df))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1 and rows.count() == 1
+
+
 def test_protobuf_traces_round_trip(spark):
     p = otlp_proto
     nested = p._put(5, p._put(1, p._put(1, b"x")) + p._put(1, p._put_varint(3 << 3) + p._put_varint(-3)))  # ["x", -3]

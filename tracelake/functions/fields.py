@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tracelake.schema import RESERVED, SERVICE
 
@@ -101,21 +104,39 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+_PRIME, _START, _FEW = 0x100000001B3, 0xCBF29CE484222325, 16
+
+
+def _fnv1a64(texts: pa.Array) -> pa.Array:
+    """A byte of every text that has one left at a time, longest texts first; the last few long ones by themselves."""
+    values = texts.cast(pa.large_binary()).fill_null(b"")
+    offs = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)
+    size = np.diff(offs)
+    order = np.argsort(-size, kind="stable")
+    start, size = offs[:-1][order], size[order]
+    together = int(size[_FEW]) if len(size) > _FEW else 0
+    h = np.full(len(values), _START, np.uint64)
+    for i, n in enumerate(np.searchsorted(-size, -np.arange(together), "left").tolist()):  # n texts are longer than i
+        h[:n] ^= data[start[:n] + i]
+        h[:n] *= np.uint64(_PRIME)
+    for j in np.flatnonzero(size > together).tolist():
+        x = int(h[j])
+        for b in data[start[j] + together : start[j] + size[j]].tobytes():
+            x = (x ^ b) * _PRIME & 0xFFFFFFFFFFFFFFFF
+        h[j] = x
+    out = np.empty_like(h)
+    out[order] = h
+    digits = _HEX[out.byteswap().view(np.uint8)].reshape(-1)
+    return pa.Array.from_buffers(pa.string(), len(out), [None, pa.py_buffer(np.arange(0, 16 * len(out) + 1, 16, dtype=np.int32)), pa.py_buffer(digits)])
+
+
+_HEX = np.array([list(f"{i:02x}".encode()) for i in range(256)], np.uint8)
+
+
 def fnv1a64(c: Column) -> Column:
-    """64-bit FNV-1a of a text's UTF-8 bytes as 16 hexadecimal digits; the state is two 32-bit halves, so nothing overflows."""
-    raw = F.hex(F.encode(c, "utf-8"))
-    size = F.length(raw).cast("int") / 2
-    codes = F.when(F.length(raw) > 0, F.transform(F.sequence(F.lit(1), F.greatest(size.cast("int"), F.lit(1))), lambda i: F.conv(F.substring(raw, i * 2 - 1, F.lit(2)), 16, 10).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
-    low32 = F.lit(0xFFFFFFFF).cast("bigint")
-
-    def step(a: Column, b: Column) -> Column:
-        x = a["lo"].bitwiseXOR(b)
-        p = x * F.lit(435).cast("bigint")
-        hi = (a["hi"] * F.lit(435).cast("bigint") + F.shiftrightunsigned(p, 32) + F.shiftleft(x, 8)).bitwiseAND(low32)
-        return F.struct(hi.alias("hi"), p.bitwiseAND(low32).alias("lo"))
-
-    start = F.struct(F.lit(0xCBF29CE4).cast("bigint").alias("hi"), F.lit(0x84222325).cast("bigint").alias("lo"))
-    return F.aggregate(codes, start, step, lambda a: F.lower(F.concat(F.lpad(F.hex(a["hi"]), 8, "0"), F.lpad(F.hex(a["lo"]), 8, "0"))))
+    """64-bit FNV-1a of a text's UTF-8 bytes as 16 hexadecimal digits; over Arrow columns, as Spark has no product modulo 2^64."""
+    return F.arrow_udf(_fnv1a64, StringType())(c)
 
 
 def log_id(resource: Column, scope: Column, record: Column, time: Column, body: Column, trace_id: Column, span_id: Column) -> Column:

@@ -26,7 +26,9 @@ def parse_log_requests(bodies: DataFrame, body: str = "body") -> DataFrame:
 
 def _scopes(requests: DataFrame, resources: str, group: str, items: str) -> DataFrame:
     """(ri, si, shared, items) of each scope. What its records share is made once, and none of them carries the others along."""
-    r = requests.select(F.posexplode(resources).alias("ri", "r")).select("ri", prefixed(F.col("r")["resource_attributes"], RESOURCE).alias("own"), F.col("r")[group].alias("scopes"))
+    # outer, as an inner one is given a filter over its array, for which a request's JSON would be parsed once more
+    r = requests.select(F.posexplode_outer(resources).alias("ri", "r")).where("ri is not null")
+    r = r.select("ri", prefixed(F.col("r")["resource_attributes"], RESOURCE).alias("own"), F.col("r")[group].alias("scopes"))
     s = F.col("s")
     shared = F.concat("own", optional_field(SCOPE_NAME, s["scope_name"]), optional_field(SCOPE_VERSION, s["scope_version"]), prefixed(s["scope_attributes"], SCOPE))
     return r.select("ri", "own", F.posexplode("scopes").alias("si", "s")).select("ri", "si", shared.alias("shared"), s[items].alias("items"))
