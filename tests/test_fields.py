@@ -33,6 +33,20 @@ def test_float_text(spark):
     assert {r.t: r.x for r in rows} == cases
 
 
+def test_usual_numbers_need_no_patterns(spark):
+    """Plain digits come of cuts, the exponent's part only where there is one; the value is what Python's decimals spell."""
+    from decimal import Decimal
+
+    numbers = [0.0, -0.0, 1.0, -3.5, 0.001, 9999999.0, 1e7, -1e7, 12345678.9, 9.99e-4, -1e-3, 1.5e-300, 1.7976931348623157e308, -2.2250738585072014e-308, 1e22, 123456789012345.67]
+    df = spark.createDataFrame([(x,) for x in numbers], "d double").select("d", X.float_text(F.col("d")).alias("t"), X.flat_value(F.struct(F.lit("f64").alias("kind"), F.col("d").cast("string").alias("value"))).alias("v"))
+    for r in df.collect():
+        plain = f"{Decimal(repr(r.d)):f}"
+        assert r.t == r.v == (plain.rstrip("0").rstrip(".") if "." in plain else plain), r
+    odd = spark.createDataFrame([("inf",), ("-Infinity",), ("NaN",), ("1_0",), (None,)], "t string").select(X.flat_value(F.struct(F.lit("f64").alias("kind"), F.col("t").alias("value"))))
+    assert [r[0] for r in odd.collect()] == ["inf", "-inf", "NaN", "1_0", ""]
+    assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_multi_map_rules(spark):
     df = spans_df(spark, [span("t", "s", fields=[("z", "1"), svc(""), svc("a"), ("k", "x"), ("k", "y"), svc("b"), ("_time", "9")])])
     r = X.promote(df).select(X.first_value("k").alias("first"), X.has_field("k", "y").alias("any"), X.first_value("none").alias("none"), "services", "service_name", X.sort_fields(F.col("fields")).alias("s"), X.strip_reserved(F.col("fields")).alias("r")).first()

@@ -18,17 +18,22 @@ def normalize(c: Column) -> Column:
 
 def float_text(d: Column) -> Column:
     """A double in plain digits: no exponent, no trailing .0."""
-    s = d.cast("string")
+    return _plain_digits(d.cast("string"))
+
+
+def _plain_digits(s: Column) -> Column:
+    """Text of a double without its exponent; few have one, so the others are done with after a look for it."""
     sign = F.when(s.startswith("-"), "-").otherwise("")
-    whole, frac = F.regexp_extract(s, r"(\d+)\.", 1), F.regexp_extract(s, r"\.(\d+)", 1)
+    mantissa, e = F.translate(F.substring_index(s, "E", 1), "-", ""), F.substring_index(s, "E", -1).try_cast("int")
+    whole, frac = F.substring_index(mantissa, ".", 1), F.substring_index(mantissa, ".", -1)
     frac = F.when(frac == "0", "").otherwise(frac)
-    e = F.coalesce(F.regexp_extract(s, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
     digits, n = F.concat(whole, frac), F.length(frac)
     big = F.concat(digits, F.repeat(F.lit("0"), F.greatest(e - n, F.lit(0))))
     inside = F.concat(F.substring(digits, F.lit(1), F.length(whole) + e), F.lit("."), F.substring(digits, F.length(whole) + e + 1, F.lit(400)))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-e - 1, F.lit(0))), digits)
     plain = F.when(e < 0, small).when(n > e, inside).otherwise(big)
-    return F.when(F.isnan(d), "NaN").when(s == "Infinity", "inf").when(s == "-Infinity", "-inf").otherwise(F.concat(sign, plain))
+    short = F.when(s.endswith(".0"), F.substring(s, F.lit(1), F.length(s) - 2)).when(s == "Infinity", "inf").when(s == "-Infinity", "-inf").otherwise(s)
+    return F.when(s.contains("E"), F.concat(sign, plain)).otherwise(short)
 
 
 def flat_value(v: Column) -> Column:
