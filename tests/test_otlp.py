@@ -172,6 +172,16 @@ def test_columns_are_written_as_messages_are():
     assert back[4:] == long and [a["value"]["value"] for a in back[:4]] == ["", "-1", "inf", "true"]
 
 
+def test_records_are_written_as_messages_are():
+    p = otlp_proto
+    record = {"time_unix_nano": 0, "observed_time_unix_nano": 9, "severity_number": 13, "severity_text": "", "body": {"kind": "i64", "value": "-7"}, "trace_id": "", "span_id": "odd one", "attributes": [kv("k", "string", "")]}
+    whole = p._put_int(2, 13) + p._put(5, p._put_varint(3 << 3) + p._put_varint(-7)) + p._put_kvs(6, [kv("k", "string", "")]) + p._put(10, p.id_bytes("odd one", 8)) + p._put_fixed(11, 9)
+    bare = record | {"body": None, "severity_number": None, "observed_time_unix_nano": None, "span_id": None, "attributes": None}
+    scopes = [{"scope_name": "s", "scope_version": "1", "scope_attributes": [kv("a", "bool", "false")], "log_records": [record, bare]}, {"scope_name": None, "scope_version": None, "scope_attributes": [], "log_records": None}]
+    want = p._put(1, p._put(1, b"") + p._put(2, p._put(1, p._put_text(1, "s") + p._put_text(2, "1") + p._put_kvs(3, [kv("a", "bool", "false")])) + p._put(2, whole) + p._put(2, b"")) + p._put(2, b""))
+    assert p.encode_log_column(pa.array([[{"resource_attributes": [], "scope_logs": scopes}], None], p._RESOURCE_LOGS)).to_pylist() == [want, b""]
+
+
 def test_records_do_not_carry_their_siblings(spark):
     """The rows that come of a scope hold what they share and themselves, not the scope with all of its spans."""
     df = spark.createDataFrame([(json.dumps(trace_request([one(attrs=[kv("a", "string", "b")])])),)], "body string")
