@@ -139,7 +139,7 @@ def test_odd_wire_data():
         p.decode_traces(pa.array([p._put(1, p._put(2, p._put(2, p._put(5, b"\xff\xfe"))))], pa.binary()))
 
 
-def test_batches_are_converted_in_bounded_pieces():
+def test_batches_are_converted_in_bounded_pieces(spark):
     """However many and large the requests of an Arrow batch are, a worker holds the arrays of about a MB of them."""
     p, ran = otlp_proto, []
 
@@ -156,6 +156,30 @@ def test_batches_are_converted_in_bounded_pieces():
     assert pa.concat_arrays([b.column(0) for b in out]).to_pylist() == [request] * 400
 
 
+def test_log_batches_are_converted_in_bounded_pieces(spark):
+    """Many small requests too; counting records makes no ids."""
+    p, ran = otlp_proto, []
+
+    class Frame:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, kind: ran.append(run)
+
+    record = {"time_unix_nano": 1, "observed_time_unix_nano": 2, "severity_number": 9, "severity_text": "INFO", "body": {"kind": "string", "value": "b" * 100}, "trace_id": "ab" * 16, "span_id": None, "attributes": []}
+    request = [{"resource_attributes": [], "scope_logs": [{"scope_name": "n", "scope_version": None, "scope_attributes": [], "log_records": [record]}]}]
+    column = pa.array([request] * 20_000, p._RESOURCE_LOGS)
+    for make, column in ((p.to_log_bodies, column), (p.parse_log_requests, p.encode_log_column(column))):
+        make(Frame())
+        out = list(ran.pop()(iter([pa.RecordBatch.from_arrays([column], names=["x"])])))
+        assert sum(len(b) for b in out) == 20_000 and len(out) > 3 and max(b.nbytes for b in out) < 4 << 20
+    assert all(x == request for b in out for x in b.column(0).to_pylist())
+
+
+def test_ids_that_nobody_reads_are_not_made(spark):
+    df = spark.createDataFrame([(json.dumps(LOG_REQUEST),)], "body string")
+    plan = otlp_json.flatten_logs(otlp_json.parse_log_requests(df)).groupBy("trace_id").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "from_json(" in plan
+
+
 def test_columns_are_written_as_messages_are():
     """Absent, odd and extreme values give the same bytes as a message put together by hand."""
     p = otlp_proto
