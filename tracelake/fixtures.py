@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tracelake.schema import KV
 
+#: Tasks that spread() makes for each core, so that the slowest of them is short, and in all where few executors are there yet.
+TASKS_A_CORE, MIN_TASKS = 3, 16
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,6 +25,15 @@ def _field(name: str, value: Column) -> Column:
     return F.struct(F.lit(name).alias("name"), value.alias("value"))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt to all cores by their keys.
+
+    A row group is read by one task, however large it is, and what a plan makes of its rows before the next shuffle
+    stays in that task. Where that is costly, rows are dealt out first, while they are narrow.
+    """
+    return df.repartition(max(MIN_TASKS, TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def _padded(prefix: str, c: str, n: int) -> Column:
     return F.concat(F.lit(prefix), F.lpad(F.col(c).cast("string"), n, "0"))
 
@@ -104,7 +116,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def event_log_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(resource_logs): a request for each event; ids of traces are hexadecimal."""
-    e, kind = _table(spark, sf_dir, "events"), F.col("event_type")
+    e, kind = spread(_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"), "event_id", "ts", "user_id"), F.col("event_type")
     text = lambda k, v: F.struct(F.lit(k).alias("key"), F.struct(F.lit("string").alias("kind"), v.alias("value")).alias("value"))
     service = F.when(F.col("event_id") % 4 == 0, "checkout").when(F.col("event_id") % 4 == 1, "payments").when(F.col("event_id") % 4 == 2, "catalog").otherwise("-")
     record = F.struct(
