@@ -31,3 +31,12 @@ def tasks(df):
 def test_requests_of_one_row_group_are_made_in_many_tasks(spark, one_group, query):
     found = tasks(query(spark, one_group))
     assert sum(found) == ROWS and len(found) >= X.MIN_TASKS and max(found) < 3 * ROWS / len(found), found
+
+
+def test_sharded_decode_is_not_held_to_few_tasks(spark, one_group, monkeypatch):
+    """Requests are decoded in as many tasks as they were encoded in."""
+    seen, parse = [], D.otlp_proto.parse_log_requests
+    monkeypatch.setattr(D.otlp_proto, "parse_log_requests", lambda bodies: seen.extend(tasks(bodies)) or parse(bodies))
+    got = D.sharded_decode(spark, one_group).collect()
+    assert sum(seen) == ROWS and len(seen) >= X.MIN_TASKS, seen
+    assert [tuple(r) for r in got] == [(ROWS - ROWS // 5, USERS - USERS // 5, 0)]

@@ -118,7 +118,7 @@ def stream_running_windows(spark, d):
 
 def sharded_decode(spark, d):
     """Protobuf logs decoded and dealt to shards by trace: no record is lost and no trace is split."""
-    rows = _flat_logs(otlp_proto.parse_log_requests(otlp_proto.to_log_bodies(X.event_log_requests(spark, d)).repartition(5))).where("trace_id is not null")
+    rows = _flat_logs(otlp_proto.parse_log_requests(otlp_proto.to_log_bodies(X.event_log_requests(spark, d)))).where("trace_id is not null")
     per = rows.withColumn("shard", shard(F.col("trace_id"), 16)).repartition("shard").groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("shard").alias("s"))
     return per.agg(F.sum("n").alias("records"), F.count(F.lit(1)).alias("traces"), F.count_if(F.col("s") > 1).alias("split"))
 
